@@ -378,3 +378,154 @@ def q_results_json(spark, sf_dir):
     parsed = js.select(S.ROW_ID, F.from_json("json", "machine_id string, probability double, risk string").alias("r"),
                        F.col("json").contains('"risk":').alias("has_risk_key"))
     return parsed.select(S.ROW_ID, "r.machine_id", r6("r.probability").alias("probability"), "r.risk", "has_risk_key")
+
+
+# ---------------------------------------------------------------- sequences and history
+_W_M = "PARTITION BY machine_id ORDER BY \"timestamp\", reading_id"
+
+
+@register("last_n", with_fixture(
+    "r AS (SELECT reading_id, machine_id, row_number() OVER (PARTITION BY machine_id ORDER BY \"timestamp\" DESC, reading_id DESC) AS recency "
+    "FROM telemetry) SELECT reading_id, machine_id, recency FROM r WHERE recency <= 30"))
+def q_last_n(spark, sf_dir):
+    out = features.last_readings(raw(spark, sf_dir), S.BROWSER_HISTORY)
+    return out.select(S.ROW_ID, S.KEY, F.col("recency").cast("long").alias("recency"))
+
+
+@register("sequence", with_fixture(
+    f"s AS (SELECT reading_id, machine_id, row_number() OVER ({_W_M}) AS seq FROM telemetry) "
+    "SELECT reading_id, machine_id, seq, LEAST(seq - 1, 100) AS history_len FROM s"))
+def q_sequence(spark, sf_dir):
+    out = features.sequence(raw(spark, sf_dir))
+    return out.select(S.ROW_ID, S.KEY, "seq", "history_len")
+
+
+@register("run_progress", with_fixture(
+    f"s AS (SELECT reading_id, machine_id, row_number() OVER ({_W_M}) AS seq, count(*) OVER (PARTITION BY machine_id) AS n FROM telemetry) "
+    "SELECT reading_id, machine_id, seq, " + R6("(seq - 1) * 1.0 / n") + " AS progress FROM s"))
+def q_run_progress(spark, sf_dir):
+    out = features.run_progress(raw(spark, sf_dir))
+    return out.select(S.ROW_ID, S.KEY, "seq", r6("progress").alias("progress"))
+
+
+@register("imminent_label", with_fixture(
+    f"s AS (SELECT reading_id, machine_id, (row_number() OVER ({_W_M}) - 1) * 1.0 / count(*) OVER (PARTITION BY machine_id) AS progress, "
+    "max(failure) OVER (PARTITION BY machine_id) AS fails FROM telemetry) "
+    "SELECT reading_id, machine_id, " + R6("progress") + " AS progress, CASE WHEN fails = 1 AND progress > 0.95 THEN 1 ELSE 0 END AS imminent FROM s"))
+def q_imminent_label(spark, sf_dir):
+    out = features.imminent_label(raw(spark, sf_dir))
+    return out.select(S.ROW_ID, S.KEY, r6("progress").alias("progress"), "imminent")
+
+
+@register("run_summary", with_fixture(
+    "r AS (SELECT machine_id, p, row_number() OVER (PARTITION BY machine_id ORDER BY \"timestamp\" DESC, reading_id DESC) AS recency FROM telemetry), "
+    "recent AS (SELECT machine_id, avg(p) AS mean_probability, max(p) AS max_probability FROM r WHERE recency <= 100 GROUP BY machine_id), "
+    "c AS (SELECT machine_id, count(*) AS readings, count(*) FILTER (WHERE prediction = 1) AS alerts, "
+    "(epoch_us(max(\"timestamp\")) - epoch_us(min(\"timestamp\"))) / 1000000.0 AS duration_s FROM telemetry GROUP BY machine_id) "
+    "SELECT c.machine_id, readings, alerts, " + R6("alerts * 100.0 / NULLIF(readings, 0)") + " AS alert_pct, "
+    + R6("mean_probability") + " AS mean_probability, " + R6("max_probability") + " AS max_probability, "
+    + R6("duration_s") + " AS duration_s FROM c LEFT JOIN recent USING (machine_id)"))
+def q_run_summary(spark, sf_dir):
+    log = fixture_telemetry(spark, sf_dir).withColumnRenamed("p", "probability")
+    out = EV.run_summary(log)
+    return out.select(S.KEY, "readings", "alerts", *[r6(c).alias(c) for c in
+                                                     ["alert_pct", "mean_probability", "max_probability", "duration_s"]])
+
+
+@register("alert_zone", with_fixture(
+    "SELECT reading_id, machine_id, prediction = 1 AS is_alert, p > 0.7 AS alert_zone, "
+    "CASE WHEN prediction = 1 THEN 'FAILURE' ELSE 'NORMAL' END AS status, strftime(\"timestamp\", '%H:%M:%S') AS clock, "
+    "CASE WHEN epoch_us(\"timestamp\") % 1000000 = 0 THEN strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S') "
+    "ELSE strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%f') END AS iso_time, CAST(prediction AS INTEGER) AS prediction, "
+    + R6("CAST(p AS DOUBLE)") + " AS probability FROM telemetry"))
+def q_alert_zone(spark, sf_dir):
+    t = fixture_telemetry(spark, sf_dir).withColumnRenamed("p", "probability")
+    out = SC.alert_flags(t)
+    return out.select(S.ROW_ID, S.KEY, "is_alert", "alert_zone", "status", C.clock_time(S.TIME).alias("clock"),
+                      C.iso_time(S.TIME).alias("iso_time"), F.col("prediction").cast("int").alias("prediction"),
+                      r6(F.col("probability").cast("double")).alias("probability"))
+
+
+@register("elapsed", with_fixture(
+    "r AS (SELECT reading_id, machine_id, \"timestamp\", row_number() OVER (PARTITION BY machine_id ORDER BY \"timestamp\" DESC, reading_id DESC) AS recency FROM telemetry "
+    "), k AS (SELECT * FROM r WHERE recency <= 100) "
+    "SELECT reading_id, machine_id, " + R6("(epoch_us(\"timestamp\") - min(epoch_us(\"timestamp\")) OVER (PARTITION BY machine_id)) / 1000000.0")
+    + " AS elapsed_s FROM k"))
+def q_elapsed(spark, sf_dir):
+    kept = features.last_readings(raw(spark, sf_dir), S.LIVE_HISTORY)
+    start = kept.groupBy(S.KEY).agg(F.min(S.TIME).alias("_t0"))
+    out = kept.join(start, S.KEY).select(S.ROW_ID, S.KEY, r6(C.elapsed_seconds(S.TIME, "_t0")).alias("elapsed_s"))
+    return out
+
+
+# ---------------------------------------------------------------- feature selection
+def _feature_sql_cte():
+    w4 = _ROLL_SQL_W.format(a=4, b="CURRENT ROW")
+    return ("feat AS (SELECT *, " + ", ".join(f"avg({_q(c)}) {w4} AS {c}_rolling_avg" for c in S.ROLLING_MEAN_INPUTS) + ", "
+            + ", ".join(f"COALESCE(stddev_samp({_q(c)}) {w4}, 0.0) AS {c}_rolling_std" for c in S.ROLLING_STD_INPUTS)
+            + ", power_consumption / (torque + 1.0) AS power_efficiency, temperature * vibration AS temp_vib_interaction FROM telemetry)")
+
+
+def _feature_cut_sql():
+    corr = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs({_corr_sql(c, 'failure')}) AS a FROM feat" for c in S.ALL_FEATURES)
+    return with_fixture(
+        _feature_sql_cte() + ", imp0 AS (" + corr + "), "
+        "imp AS (SELECT feature, COALESCE(a, 0.0) / sum(COALESCE(a, 0.0)) OVER () AS importance FROM imp0), "
+        "rk AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank, "
+        "sum(importance) OVER (ORDER BY importance DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM imp), "
+        "u AS (SELECT count(*) FILTER (WHERE cum <= 0.95) AS under FROM rk) "
+        "SELECT feature, " + R6("importance") + " AS importance, rank, " + R6("cum") + " AS cumulative_importance, "
+        "CASE WHEN under < 10 THEN rank <= 10 ELSE cum <= 0.95 END AS selected FROM rk, u")
+
+
+def correlation_importance(df: DataFrame, feats=S.ALL_FEATURES, label: str = S.LABEL) -> DataFrame:
+    """Importance stand-in derived from the data: |corr(feature, label)| normalised to sum 1."""
+    tc = PR.target_correlation(df, feats, label).withColumn("a", F.coalesce(F.abs("corr"), F.lit(0.0)))
+    total = tc.agg(F.sum("a").alias("_t"))
+    return tc.crossJoin(F.broadcast(total)).select("feature", F.try_divide(F.col("a"), F.col("_t")).alias("importance"))
+
+
+@register("feature_cut", _feature_cut_sql())
+def q_feature_cut(spark, sf_dir):
+    feats = features.rolling_features(raw(spark, sf_dir))
+    cut = SEL.cumulative_cut(correlation_importance(feats))
+    return cut.select("feature", r6("importance").alias("importance"), F.col("rank").cast("long").alias("rank"),
+                      r6("cumulative_importance").alias("cumulative_importance"), "selected")
+
+
+# ---------------------------------------------------------------- health, clamps, rules
+@register("health_index", with_fixture(
+    f"s AS (SELECT reading_id, machine_id, prediction, row_number() OVER ({_W_M}) AS seq FROM telemetry), "
+    "l AS (SELECT *, min(seq) FILTER (WHERE prediction = 1) OVER (PARTITION BY machine_id) AS latch FROM s) "
+    "SELECT reading_id, machine_id, seq, " + R6("CASE WHEN latch IS NULL OR seq < latch THEN 0.0 ELSE LEAST(1.0, (seq - latch + 1) * 0.05) END")
+    + " AS degradation FROM l"))
+def q_health_index(spark, sf_dir):
+    t = fixture_telemetry(spark, sf_dir).select(S.ROW_ID, S.KEY, S.TIME, "prediction")
+    out = HL.health_index(t)
+    return out.select(S.ROW_ID, S.KEY, "seq", r6("degradation").alias("degradation"))
+
+
+@register("clamped", with_fixture(
+    "SELECT reading_id, CASE WHEN vibration IS NULL THEN NULL ELSE GREATEST(vibration, 0.0) END AS vibration, "
+    "CASE WHEN temperature IS NULL THEN NULL ELSE LEAST(GREATEST(temperature, 50.0), 120.0) END AS temperature, "
+    "CASE WHEN pressure IS NULL THEN NULL ELSE GREATEST(pressure, 0.0) END AS pressure FROM telemetry"))
+def q_clamped(spark, sf_dir):
+    out = RU.clamped(raw(spark, sf_dir))
+    return out.select(S.ROW_ID, "vibration", "temperature", "pressure")
+
+
+@register("range_violations", with_fixture(" UNION ALL ".join(
+    f"SELECT reading_id, machine_id, '{c}' AS sensor, {_q(c)} AS value, CASE WHEN {_q(c)} < {lo} THEN 'below' ELSE 'above' END AS side "
+    f"FROM telemetry WHERE {_q(c)} < {lo} OR {_q(c)} > {hi}" for c, (lo, hi) in S.NORMAL_RANGES.items())))
+def q_range_violations(spark, sf_dir):
+    return RU.range_violations(raw(spark, sf_dir))
+
+
+@register("critical_alerts", with_fixture(
+    "a AS (SELECT reading_id, machine_id, concat_ws(',', CASE WHEN vibration > 8.0 THEN 'vibration' END, "
+    "CASE WHEN temperature > 90.0 THEN 'temperature' END, CASE WHEN pressure < 4.0 THEN 'pressure_low' END, "
+    "CASE WHEN pressure > 6.0 THEN 'pressure_high' END, CASE WHEN p > 0.7 THEN 'failure_probability' END) AS reasons FROM telemetry) "
+    "SELECT reading_id, machine_id, reasons, CAST(len(string_split(reasons, ',')) AS INTEGER) AS n_reasons FROM a WHERE reasons <> ''"))
+def q_critical_alerts(spark, sf_dir):
+    out = RU.critical_alerts(fixture_telemetry(spark, sf_dir))
+    return out.select(S.ROW_ID, S.KEY, F.array_join("reasons", ",").alias("reasons"), "n_reasons")

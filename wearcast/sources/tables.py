@@ -16,19 +16,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_telemetry_csv(spark: SparkSession, path: str, row_id: str = S.ROW_ID) -> DataFrame:
     """S1 + S2: header CSV with the telemetry schema; no inference pass over the data.
 
-    The timestamp column is read as text and parsed with ``to_timestamp_ntz``;
-    empty cells and ``NaN`` become NULL. A ``reading_id`` column is added when
-    the file has none, derived from the file and the position in it.
+    Every cell is read as text (no inference pass over the data); the timestamp
+    is parsed with ``to_timestamp_ntz``, empty cells and ``NaN`` become NULL. A
+    ``reading_id`` column is kept when the file has one, else it is derived
+    from the file split and the position in it.
     """
-    text_schema = T.StructType(
-        [T.StructField(S.TIME, T.StringType()), T.StructField(S.KEY, T.StringType())]
-        + [T.StructField(c, T.StringType()) for c in S.SENSORS]
-        + [T.StructField(S.LABEL, T.StringType())]
-    )
+    header = spark.read.option("header", True).csv(path).columns  # reads the first line only
+    has_id = row_id in header
+    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = spark.read.schema(text_schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    cols = [F.to_timestamp_ntz(F.col(S.TIME)).alias(S.TIME), F.col(S.KEY)]
+    cols = ([F.col(row_id).cast("long").alias(row_id)] if has_id else []) + \
+        [F.to_timestamp_ntz(F.col(S.TIME)).alias(S.TIME), F.col(S.KEY)]
     for c in S.SENSORS:
-        v = F.try_cast(F.col(c), "double")
+        v = F.col(c).try_cast("double")
         cols.append(F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v).alias(c))
     cols.append(F.col(S.LABEL).cast("int").alias(S.LABEL))
     out = raw.select(*cols)
