@@ -29,6 +29,9 @@ def get_session(master: str | None = None, app_name: str = "wearcast",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs everything in the driver JVM; on a cluster the platform sizes it
+            builder = builder.config("spark.driver.memory", os.environ.get("WEARCAST_DRIVER_MEMORY", "16g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
