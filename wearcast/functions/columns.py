@@ -82,9 +82,10 @@ def percent_text(p: str | Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", F.bround(col(p) * 100.0, digits))
 
 
-def round2(x: str | Column) -> Column:
-    """Two decimals."""
-    return F.round(col(x), 2)
+def round_to(x: str | Column, digits: int = 2) -> Column:
+    """``round(x * 10^d) / 10^d`` - the same arithmetic as SQL engines that round the scaled double."""
+    scale = float(10 ** digits)
+    return F.round(col(x) * F.lit(scale)) / F.lit(scale)
 
 
 def elapsed_seconds(t: str | Column, start: str | Column) -> Column:
@@ -93,8 +94,10 @@ def elapsed_seconds(t: str | Column, start: str | Column) -> Column:
 
 
 def iso_time(t: str | Column) -> Column:
-    """ISO-8601 text with microseconds, like ``datetime.isoformat``."""
-    return F.date_format(col(t), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO-8601 text like ``datetime.isoformat``: microseconds, omitted when they are zero."""
+    whole = F.unix_micros(col(t).cast("timestamp")) % 1000000 == 0
+    return F.when(whole, F.date_format(col(t), "yyyy-MM-dd'T'HH:mm:ss")) \
+            .otherwise(F.date_format(col(t), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def clock_time(t: str | Column) -> Column:

@@ -65,8 +65,9 @@ def rolling(df: DataFrame, specs: Sequence[tuple[str, Builder]], lookback: int,
     names = [n for n, _ in specs]
     base, wc = _local(with_chunk(df, time, chunk_seconds), key, time, row_id)
     local = base.select("*", *[b(wc).alias(n) for n, b in specs])
+    # Both branches start from the same windowed plan, so the (machine, chunk) shuffle is done once and reused.
     settled = local.where(F.col(LOCAL_RN) > lookback)
-    edge = base.where((F.col(LOCAL_RN) <= lookback) | (F.col(LOCAL_RN) > F.col(LOCAL_CNT) - lookback))
+    edge = local.where((F.col(LOCAL_RN) <= lookback) | (F.col(LOCAL_RN) > F.col(LOCAL_CNT) - lookback)).drop(*names)
     wm = Window.partitionBy(key).orderBy(time, row_id)
     repaired = edge.select("*", *[b(wm).alias(n) for n, b in specs]).where(F.col(LOCAL_RN) <= lookback)
     out = settled.unionByName(repaired)

@@ -529,3 +529,38 @@ def q_range_violations(spark, sf_dir):
 def q_critical_alerts(spark, sf_dir):
     out = RU.critical_alerts(fixture_telemetry(spark, sf_dir))
     return out.select(S.ROW_ID, S.KEY, F.array_join("reasons", ",").alias("reasons"), "n_reasons")
+
+
+# ---------------------------------------------------------------- projections and report variants
+@register("feature_projection", with_fixture(
+    "SELECT reading_id, " + ", ".join(_q(c) for c in ["vibration", "temperature", "pressure", "torque", "power_consumption"])
+    + ", 0.0 AS humidity FROM telemetry"))
+def q_feature_projection(spark, sf_dir):
+    """The model's ordered feature list; a feature the readings lack is 0.0."""
+    return SEL.project_features(raw(spark, sf_dir), ["vibration", "temperature", "pressure", "torque",
+                                                     "power_consumption", "humidity"], keep=[S.ROW_ID])
+
+
+def R2(expr: str) -> str:
+    return f"(ROUND(({expr}) * 100.0) / 100.0)"
+
+
+@register("summary_table", with_fixture(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({_q(c)}) AS count, {R2(f'avg({_q(c)})')} AS mean, {R2(f'stddev_samp({_q(c)})')} AS std, "
+    f"{R2(f'min({_q(c)})')} AS min, {R2(f'quantile_cont({_q(c)}, 0.25)')} AS q25, {R2(f'quantile_cont({_q(c)}, 0.5)')} AS q50, "
+    f"{R2(f'quantile_cont({_q(c)}, 0.75)')} AS q75, {R2(f'max({_q(c)})')} AS max FROM telemetry" for c in SENS)))
+def q_summary_table(spark, sf_dir):
+    """A5 + P14: the describe() table as printed, two decimals."""
+    out = PR.summary_stats(raw(spark, sf_dir), SENS)
+    return out.select("feature", "count", *[C.round_to(c, 2).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+
+
+@register("browser_high_risk", with_fixture(
+    _RESULTS_SQL + ", b AS (SELECT * FROM results WHERE Risk_Level = 'High' ORDER BY reading_id LIMIT 10) "
+    "SELECT reading_id, Machine_ID, " + R6("Failure_Probability") + " AS Failure_Probability, "
+    "format('{:.1f}%', round_even(Failure_Probability * 100.0, 1)) AS label FROM b"))
+def q_browser_high_risk(spark, sf_dir):
+    """O3 (browser table): the first 10 'High' rows in file order (row id), unsorted by score."""
+    res = results_df(spark, sf_dir).where(F.col("Risk_Level") == "High").orderBy(S.ROW_ID).limit(10)
+    return res.select(S.ROW_ID, "Machine_ID", r6("Failure_Probability").alias("Failure_Probability"),
+                      C.percent_text("Failure_Probability").alias("label"))

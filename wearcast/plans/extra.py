@@ -116,9 +116,16 @@ def q_feature_importance(spark, sf_dir):
     return MD.feature_importance(_engineered(spark, sf_dir), S.ALL_FEATURES)
 
 
+_TRAINED: dict = {}
+
+
 def _fit_pair(spark, sf_dir):
+    """One full training run per input folder and session, shared by the model queries."""
     from wearcast.plans import training
-    return training.train(raw(spark, sf_dir))
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train(raw(spark, sf_dir))
+    return _TRAINED[key]
 
 
 @register("model_scores")
@@ -234,14 +241,6 @@ def q_stream_scores(spark, sf_dir):
     feats = [f for f in S.ALL_FEATURES if f not in ("runtime_hours",)][:10]
     model = MD.fit(MD.balanced_weights(batch), feats, MD.random_forest(numTrees=20, maxDepth=6))
 
-    out = run_in_slices(spark, sf_dir, lambda r: _with_message(live.score_stream(
+    out = run_in_slices(spark, sf_dir, lambda r: live.with_message(live.score_stream(
         _serving(r), model, [S.ROW_ID, S.KEY, S.TIME, "seq", "degradation", *feats])), "scores")
     return out
-
-
-def _with_message(scored: DataFrame) -> DataFrame:
-    msg = F.to_json(F.struct(F.col("seq").alias("time"), "vibration", "temperature", "pressure", "probability",
-                             F.col("prediction").cast("int").alias("prediction"), "degradation",
-                             F.date_format(S.TIME, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")),
-                    {"ignoreNullFields": "false"})
-    return scored.withColumn("message", msg)
