@@ -83,36 +83,35 @@ def share_of_total(counts: DataFrame, count_col: str = "n", name: str = "pct") -
     return counts.crossJoin(F.broadcast(total)).withColumn(name, safe_div(F.col(count_col) * 100.0, "_t")).drop("_t")
 
 
-def pairwise_corr(a: str, b: str) -> F.Column:
-    """Pearson correlation over pairwise-complete rows; NULL where a side is constant (no ANSI failure)."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    xa = F.when(both, F.col(a))
-    xb = F.when(both, F.col(b))
-    return F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
+def _pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson r per (a, b) over pairwise-complete rows; NULL where a side is constant (no ANSI failure).
 
+    Each reading becomes one short row per pair and one grouped aggregation
+    (three moments per pair, partial aggregation, one row per pair shuffled);
+    a single aggregate row with hundreds of buffers would fall out of code generation.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                         F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                                for a, b in pairs])).alias("e")
+    long = df.select(cells).select("e.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return long.groupBy("feature_a", "feature_b").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"),
+        F.when(F.stddev_pop("x") > 0, F.lit(1.0)).alias("_self"))
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] = S.SENSORS + [S.LABEL]) -> DataFrame:
-    """Long form ``(feature_a, feature_b, corr)``, all ordered pairs, diagonal 1.0.
 
-    One aggregation computes the n(n-1)/2 distinct pairs; the rest is a mirror of that one row.
-    """
+def correlation_matrix(df: DataFrame, cols: Sequence[str] = S.SENSORS + [S.LABEL]) -> DataFrame:
+    """Long form ``(feature_a, feature_b, corr)``, all ordered pairs; diagonal 1.0 (NULL for a constant column)."""
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    # pandas puts 1.0 on the diagonal unless the column is constant or empty
-    wide = df.agg(*[pairwise_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs],
-                  *[F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"d_{k}") for k, c in enumerate(cols)])
-    entries = []
-    for i, j in pairs:
-        entries.append(F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"), F.col(f"c{i}_{j}").alias("corr")))
-        entries.append(F.struct(F.lit(cols[j]).alias("feature_a"), F.lit(cols[i]).alias("feature_b"), F.col(f"c{i}_{j}").alias("corr")))
-    for k, c in enumerate(cols):
-        entries.append(F.struct(F.lit(c).alias("feature_a"), F.lit(c).alias("feature_b"), F.col(f"d_{k}").alias("corr")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]] + [(c, c) for c in cols]
+    st = _pair_stats(df, pairs)
+    upper = st.select("feature_a", "feature_b",
+                      F.when(F.col("feature_a") == F.col("feature_b"), F.col("_self")).otherwise(F.col("corr")).alias("corr"))
+    lower = upper.where(F.col("feature_a") != F.col("feature_b")).select(
+        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr")
+    return upper.unionByName(lower)
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str] = S.SENSORS, label: str = S.LABEL) -> DataFrame:
     """A10 + P19: correlation of every feature with the label, label itself dropped, descending."""
-    wide = df.agg(*[pairwise_corr(c, label).alias(f"c{i}") for i, c in enumerate(cols)])
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr"))
-                                            for i, c in enumerate(cols)])).alias("e")).select("e.*")
-    return long.orderBy(F.col("corr").desc_nulls_last(), F.col("feature"))
+    st = _pair_stats(df, [(c, label) for c in cols])
+    return st.select(F.col("feature_a").alias("feature"), "corr").orderBy(F.col("corr").desc_nulls_last(), F.col("feature"))
