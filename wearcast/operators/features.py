@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wearcast import schema as S
 from wearcast.functions import columns as C
@@ -84,10 +83,11 @@ def imminent_label(df: DataFrame, label: str = S.LABEL, horizon: float = 0.95, k
                    time: str = S.TIME, row_id: str = S.ROW_ID,
                    chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """1 when the machine fails at some point and the reading lies in its last (1 - horizon) share."""
-    prog = run_progress(df, key, time, row_id, chunk_seconds)
-    fails = df.groupBy(key).agg(F.max(label).alias("_fails"))
-    return prog.join(fails, key, "left").withColumn(
-        "imminent", F.when((F.col("_fails") == 1) & (F.col("progress") > horizon), 1).otherwise(0)).drop("_fails")
+    seq = series.sequence_frame(df, "seq", "_n", key, time, row_id, chunk_seconds)
+    seq = series.with_machine_values(seq, {"_fails": (F.max(label), "max")}, key)
+    prog = seq.withColumn("progress", (F.col("seq") - 1) / F.col("_n"))
+    return prog.withColumn("imminent", F.when((F.col("_fails") == 1) & (F.col("progress") > horizon), 1).otherwise(0)) \
+               .select(*df.columns, "seq", "progress", "imminent")
 
 
 def last_readings(df: DataFrame, n: int = S.LIVE_HISTORY, key: str = S.KEY, time: str = S.TIME,
@@ -100,9 +100,3 @@ def engineered(df: DataFrame, **kw) -> DataFrame:
     """Sensors + the 7 engineered features (17 in ``S.ALL_FEATURES``)."""
     return rolling_features(df, **kw)
 
-
-def cumulative_importance(imp: DataFrame, feature: str = "feature", importance: str = "importance") -> DataFrame:
-    """Running sum of importance in descending order (ties by name). Input has one row per feature."""
-    w = Window.orderBy(F.col(importance).desc(), F.col(feature)).rowsBetween(Window.unboundedPreceding, 0)
-    return imp.withColumn("cumulative_importance", F.sum(importance).over(w)) \
-              .withColumn("rank", F.row_number().over(Window.orderBy(F.col(importance).desc(), F.col(feature))))

@@ -19,9 +19,10 @@ from wearcast.operators import series
 def health_index(df: DataFrame, alert: str = "prediction", key: str = S.KEY, time: str = S.TIME,
                  row_id: str = S.ROW_ID, up: float = S.HEALTH_STEP_UP,
                  chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    seq = series.sequence_number(df, "seq", None, key, time, row_id, chunk_seconds)
-    latch = seq.where(F.col(alert) == 1).groupBy(key).agg(F.min("seq").alias("_latch"))
-    return seq.join(latch, key, "left").withColumn(
+    seq = series.sequence_frame(df, "seq", None, key, time, row_id, chunk_seconds)
+    seq = series.with_machine_values(seq, {"_latch": (F.min(F.when(F.col(alert) == 1, F.col("seq"))), "min")}, key)
+    out = seq.withColumn(
         "degradation",
         F.when(F.col("_latch").isNull() | (F.col("seq") < F.col("_latch")), F.lit(0.0))
-         .otherwise(F.least(F.lit(1.0), (F.col("seq") - F.col("_latch") + 1) * F.lit(up)))).drop("_latch")
+         .otherwise(F.least(F.lit(1.0), (F.col("seq") - F.col("_latch") + 1) * F.lit(up))))
+    return out.select(*df.columns, "seq", "degradation")

@@ -108,11 +108,34 @@ def sequence_number(df: DataFrame, name: str = "seq", total: str | None = None,
                     time: str = S.TIME, row_id: str = S.ROW_ID,
                     chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """1-based position of each reading within its machine; optionally the machine's row count."""
+    return sequence_frame(df, name, total, key, time, row_id, chunk_seconds).drop(CHUNK)
+
+
+def with_machine_values(seq_df: DataFrame, aggs: dict[str, tuple[Column, str]], key: str = S.KEY) -> DataFrame:
+    """Attach per-machine aggregates to every reading without joining on the machine key alone.
+
+    ``seq_df`` carries ``CHUNK`` (as returned by ``sequence_frame``). Each
+    ``name -> (partial_expr, merge)`` is aggregated per (machine, chunk) - the
+    key the rows are already partitioned by - merged over the machine's chunks
+    with a window on that small summary (``merge`` is ``min``/``max``/``sum``),
+    and joined back on (machine, chunk).
+    """
+    merge_fn = {"min": F.min, "max": F.max, "sum": F.sum}
+    part = seq_df.groupBy(key, CHUNK).agg(*[expr.alias(f"_p_{n}") for n, (expr, _) in aggs.items()])
+    w = Window.partitionBy(key)
+    summary = part.select(key, CHUNK, *[merge_fn[m](f"_p_{n}").over(w).alias(n) for n, (_, m) in aggs.items()])
+    return seq_df.join(summary, [key, CHUNK], "left")
+
+
+def sequence_frame(df: DataFrame, name: str = "seq", total: str | None = None, key: str = S.KEY,
+                   time: str = S.TIME, row_id: str = S.ROW_ID,
+                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """``sequence_number`` that keeps the ``CHUNK`` column for further per-(machine, chunk) work."""
     base, _ = _local(with_chunk(df, time, chunk_seconds), key, time, row_id)
     offs = chunk_offsets(df, key, time, chunk_seconds)
     out = base.join(offs, [key, CHUNK], "left").withColumn(name, (F.col("_before") + F.col(LOCAL_RN)).cast("long"))
     extra = [F.col("_total").cast("long").alias(total)] if total else []
-    return out.select(*[F.col(c) for c in df.columns], F.col(name), *extra)
+    return out.select(*[F.col(c) for c in df.columns], F.col(CHUNK), F.col(name), *extra)
 
 
 def last_n(df: DataFrame, n: int, name: str = "recency", key: str = S.KEY, time: str = S.TIME,
