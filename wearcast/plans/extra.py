@@ -25,7 +25,7 @@ from wearcast.operators import scoring as SC
 from wearcast.operators import selection as SEL
 from wearcast.plans import catalog as CAT
 from wearcast.plans.catalog import ORACLES, R6, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
-from wearcast.session import checkpoint_dir
+from wearcast.session import checkpoint_dir, ship_package
 from wearcast.sources.sinks import write_csv, write_sorted_csv
 from wearcast.sources.tables import fixture_telemetry, read_telemetry_csv
 from wearcast.streaming import live
@@ -183,6 +183,7 @@ def stage_stream_input(spark: SparkSession, sf_dir: str, slices: int = 3) -> tup
 def run_in_slices(spark, sf_dir, build, name: str, foreach: bool = False):
     """Write each time slice, then run the stream with ``availableNow`` from its checkpoint: state crosses
     batches and every run is a restart."""
+    ship_package(spark)
     src, parts = stage_stream_input(spark, sf_dir)
     sink, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
     schema = fixture_telemetry(spark, sf_dir).select(*STREAM_COLS).schema

@@ -8,8 +8,10 @@ setting is unset, as in local tests.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,37 @@ def get_session(master: str | None = None, app_name: str = "wearcast",
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wearcast`` importable in every Python worker (streaming state, foreachBatch).
+
+    The package is zipped once per SparkContext and added with ``addPyFile``,
+    which distributes it from the driver; nothing has to be installed on executors.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    fd, path = tempfile.mkstemp(prefix="wearcast-", suffix=".zip")
+    with os.fdopen(fd, "wb") as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
