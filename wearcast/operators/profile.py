@@ -103,12 +103,12 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = S.SENSORS + [S.LABEL
     """Long form ``(feature_a, feature_b, corr)``, all ordered pairs; diagonal 1.0 (NULL for a constant column)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]] + [(c, c) for c in cols]
-    st = _pair_stats(df, pairs)
-    upper = st.select("feature_a", "feature_b",
-                      F.when(F.col("feature_a") == F.col("feature_b"), F.col("_self")).otherwise(F.col("corr")).alias("corr"))
-    lower = upper.where(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr")
-    return upper.unionByName(lower)
+    st = _pair_stats(df, pairs)  # one aggregation, one row per pair; mirrored after it
+    a, b = F.col("feature_a"), F.col("feature_b")
+    mirrored = F.when(a == b, F.array(F.struct(a.alias("feature_a"), b.alias("feature_b"), F.col("_self").alias("corr")))) \
+                .otherwise(F.array(F.struct(a.alias("feature_a"), b.alias("feature_b"), F.col("corr").alias("corr")),
+                                   F.struct(b.alias("feature_a"), a.alias("feature_b"), F.col("corr").alias("corr"))))
+    return st.select(F.explode(mirrored).alias("e")).select("e.*")
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str] = S.SENSORS, label: str = S.LABEL) -> DataFrame:
