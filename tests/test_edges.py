@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wearcast import schema as S
 from wearcast.functions import columns as C
 from wearcast.operators import evaluate as EV
 from wearcast.operators import features as FE

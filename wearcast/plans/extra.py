@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
-from wearcast.operators import evaluate as EV
 from wearcast.operators import features as FE
 from wearcast.operators import model as MD
 from wearcast.operators import sampling as SA
 from wearcast.operators import scoring as SC
 from wearcast.operators import selection as SEL
 from wearcast.plans import catalog as CAT
-from wearcast.plans.catalog import ORACLES, R6, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
+from wearcast.plans.catalog import ORACLES, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
 from wearcast.session import checkpoint_dir, ship_package
 from wearcast.sources.sinks import write_csv, write_sorted_csv
 from wearcast.sources.tables import fixture_telemetry, read_telemetry_csv
