@@ -534,7 +534,7 @@ def q_critical_alerts(spark, sf_dir):
 # ---------------------------------------------------------------- projections and report variants
 @register("feature_projection", with_fixture(
     "SELECT reading_id, " + ", ".join(_q(c) for c in ["vibration", "temperature", "pressure", "torque", "power_consumption"])
-    + ", 0.0 AS humidity FROM telemetry"))
+    + ", CAST(0.0 AS DOUBLE) AS humidity FROM telemetry"))
 def q_feature_projection(spark, sf_dir):
     """The model's ordered feature list; a feature the readings lack is 0.0."""
     return SEL.project_features(raw(spark, sf_dir), ["vibration", "temperature", "pressure", "torque",
