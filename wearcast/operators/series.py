@@ -142,12 +142,19 @@ def last_n(df: DataFrame, n: int, name: str = "recency", key: str = S.KEY, time:
            row_id: str = S.ROW_ID, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """The latest ``n`` readings of each machine, ``recency`` 1 = newest.
 
-    Each chunk first keeps its own latest ``n`` rows (per (machine, chunk)
-    window); only those candidates, at most ``n`` per chunk, are ranked per machine.
+    Only chunks with fewer than ``n`` readings in later chunks can contribute
+    (found on the per-(machine, chunk) count summary); each of those keeps its
+    own latest ``n`` rows, and only those candidates - O(n) per machine however
+    long its history - are ranked per machine.
     """
     chunked = with_chunk(df, time, chunk_seconds)
+    counts = chunked.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))) \
+                   .where(F.col("_later") < n).select(key, CHUNK)
     desc = [F.col(time).desc(), F.col(row_id).desc()]
-    cand = chunked.withColumn("_ldr", F.row_number().over(Window.partitionBy(key, CHUNK).orderBy(*desc))) \
+    cand = chunked.join(needed, [key, CHUNK], "left_semi") \
+                  .withColumn("_ldr", F.row_number().over(Window.partitionBy(key, CHUNK).orderBy(*desc))) \
                   .where(F.col("_ldr") <= n)
     ranked = cand.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*desc)))
     return ranked.where(F.col(name) <= n).select(*df.columns, name)
