@@ -47,9 +47,6 @@ def get_session(master: str | None = None, app_name: str = "wearcast",
     return spark
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``wearcast`` importable in every Python worker (streaming state, foreachBatch).
 
@@ -57,7 +54,7 @@ def ship_package(spark: SparkSession) -> None:
     which distributes it from the driver; nothing has to be installed on executors.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_wearcast_shipped", False):  # kept on the context itself: a new context starts anew
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
@@ -71,7 +68,7 @@ def ship_package(spark: SparkSession) -> None:
     with os.fdopen(fd, "wb") as out:
         out.write(buf.getvalue())
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    sc._wearcast_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
