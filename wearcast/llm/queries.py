@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import decontaminate
+from wearcast.llm import byte_bpe, decontaminate
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,17 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""")
 def q_decontamination(spark, sf_dir):
     """Every document against every benchmark window of 10 words."""
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
+def _vocabulary() -> tuple[str, str]:
+    """(rank file, splitting pattern) of the public byte-level vocabulary; the operator takes any other."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@register("op5_byte_bpe")
+def q_byte_bpe(spark, sf_dir):
+    """Every whole text encoded, then decoded."""
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), *_vocabulary())
+    return byte_bpe.digests(byte_bpe.decode(ids, *_vocabulary()))
