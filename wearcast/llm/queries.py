@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate
+from wearcast.llm import byte_bpe, decontaminate, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,18 @@ def q_byte_bpe(spark, sf_dir):
     """Every whole text encoded, then decoded."""
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), *_vocabulary())
     return byte_bpe.digests(byte_bpe.decode(ids, *_vocabulary()))
+
+
+def remainder(n: int, column: str = "doc_id"):
+    """crc32 of the id as text, modulo n (null id: null)."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+@register("op10_toxicity")
+def q_toxicity(spark, sf_dir):
+    """Every document scored; labels of the held-out quarter (crc32 mod 4 = 2) are not seen."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder(4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

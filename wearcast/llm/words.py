@@ -18,8 +18,10 @@ import xxhash
 SLICE_BYTES = 6 << 20
 LONG_WORD = 512  # bytes; longer words are hashed one by one
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between words: white space (the default), or all but digits, letters and bytes above 0x7F.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PUNCTUATION = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
@@ -61,11 +63,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Words of the rows of one text column: byte starts and lengths, row bounds, hashes."""
 
-    def __init__(self, column: pa.Array, lower: bool):
+    def __init__(self, column: pa.Array, lower: bool, between: np.ndarray = SPACE):
         raw, off = text_bytes(column)
         self.data = _LOWER[raw] if lower else raw
         self.n_rows = len(off) - 1
-        inner = ~_SPACE[raw]
+        inner = ~between[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[off] = True
         if len(raw):
