@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate, toxicity
+from wearcast.llm import byte_bpe, decontaminate, substring_dedup, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,21 @@ def q_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+
+@register("op2_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+win AS (SELECT doc_id, k, md5(array_to_string(w[k + 1:k + 35], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS k FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, k FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, list(pos) AS gone FROM (SELECT DISTINCT doc_id, unnest(range(k + 1, k + 36)) AS pos FROM rep) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""")
+def q_substring_dedup(spark, sf_dir):
+    """Every document without the words of its recurring 35-word windows."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
