@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate, jaccard_join, substring_dedup, toxicity
+from wearcast.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +110,8 @@ WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER_AZ.format("coalesce(te
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 3], ' ') AS g
       FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM o JOIN n p ON o.a = p.doc_id JOIN n q ON o.b = q.doc_id WHERE 100 * both >= 90 * (p.n + q.n - both)),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n p ON o.a = p.doc_id JOIN n q ON o.b = q.doc_id WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
@@ -119,3 +119,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON d.doc_id = c.a""")
 def q_jaccard_join(spark, sf_dir):
     """Every document's component under a Jaccard similarity of 0.9 on 3-word shingles."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@register("op6_line_dedup")
+def q_line_dedup(spark, sf_dir):
+    """Every document without the lines whose like stands elsewhere before."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
