@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, substring_dedup, toxicity
+from wearcast.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, pii, substring_dedup, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,10 @@ FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a""")
 def q_embedding_dedup(spark, sf_dir):
     """Every vector's links and component under a cosine of 0.9."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@register("op7_pii")
+def q_pii(spark, sf_dir):
+    """Spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(pii.find(docs, pii.fit(docs)))
