@@ -27,6 +27,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -44,6 +45,11 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str, leaf_bytes: int = LEAF_BYTES):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in rank_file.splitlines() if x)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.size = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)  # bytes of each token, and where they are in store
+        for rank, token in self.bytes_of.items():
+            self.size[rank] = len(token)
+        self.at = np.cumsum(self.size) - self.size
+        self.store = np.frombuffer(b"".join(self.bytes_of[r] for r in sorted(self.bytes_of)), np.uint8)
         self.split = regex.compile(pattern).findall
         self.leaf_bytes = max(1, leaf_bytes)
         self.known = _Pieces(self)
@@ -124,8 +130,9 @@ class Codec:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.tree(data)
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text)))) if text else []
+    def encode(self, text: str | None) -> np.ndarray:
+        ids = chain.from_iterable(map(self.known.__getitem__, self.split(text))) if text else ()
+        return np.fromiter(ids, np.int32)
 
     def decode(self, ids: list[int] | None) -> bytes:
         if not ids:
@@ -135,6 +142,18 @@ class Codec:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_column(self, column: pa.Array) -> pa.Array:
+        """``decode`` of each row at once: the same concatenation, laid out by the tokens' lengths."""
+        column = column.cast(pa.large_list(pa.int32())).fill_null([]) if column.null_count else column.cast(pa.large_list(pa.int32()))
+        ids, bounds = column.flatten().to_numpy(), column.offsets.to_numpy()
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise KeyError("an id outside the vocabulary")
+        size = self.size[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        data = self.store[np.repeat(self.at[ids] - end[:-1], size) + np.arange(end[-1])]
+        off = end[bounds - bounds[0]].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.binary())
+
 
 class _Pieces(dict):
     """Encodings of pieces seen so far."""
@@ -186,7 +205,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id"
         codec = _codec(ranks.value, pattern)
         for b in batches:
             for part in _batches(500, b):
-                ids = pa.array([codec.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
+                found = [codec.encode(t) for t in part.column(1).to_pylist()]
+                bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
                 yield pa.record_batch([part.column(0), ids], ["doc_id", "ids"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -201,8 +222,7 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_i
         codec = _codec(ranks.value, pattern)
         for b in batches:
             for part in _batches(500, b):
-                out = pa.array([codec.decode(x) for x in part.column(1).to_pylist()], pa.binary())
-                yield pa.record_batch([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
+                yield pa.record_batch([part.column(0), part.column(1), codec.decode_column(part.column(1))], ["doc_id", "ids", "decoded"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
