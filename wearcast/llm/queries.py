@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, pii, substring_dedup, toxicity
+from wearcast.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, pii, substring_dedup, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,10 @@ def q_pii(spark, sf_dir):
     """Spans of personal data in every document."""
     docs = table(spark, sf_dir, "documents")
     return pii.report(pii.find(docs, pii.fit(docs)))
+
+
+@register("op1_lm_scoring")
+def q_lm_scoring(spark, sf_dir):
+    """Every document scored; a seventh of them (crc32 mod 7 = 2) is not learned from."""
+    out = lm_scoring.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
