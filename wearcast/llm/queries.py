@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, pii, substring_dedup, toxicity
+from wearcast.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, pii, substring_dedup, toxicity
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,28 @@ def q_lm_scoring(spark, sf_dir):
     """Every document scored; a seventh of them (crc32 mod 7 = 2) is not learned from."""
     out = lm_scoring.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The one tool of the derived calls below.
+REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {
+    "prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "array", "items": {"type": "string"}}}}}
+
+
+def turns_as_calls(chats: DataFrame) -> DataFrame:
+    """The table holds no tool calls, so each question becomes one: a user's turn calls ``reply``, after the question two
+    turns before if there is one; the assistant's next turn is the result. Other turns stay plain messages."""
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    before = F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
+    two = F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 2).cast("string"))
+    args = F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn", F.when(F.col("turn") >= 2, F.array(two)).otherwise(F.array().cast("array<string>")).alias("after"))
+    call = F.to_json(F.struct(F.array(F.struct(name.alias("id"), F.lit("function").alias("type"), F.struct(F.lit("reply").alias("name"), args.alias("arguments")).alias("function"))).alias("tool_calls")))
+    result = F.to_json(F.struct(before.alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    asks, answers = F.col("role") == "user", F.col("role") == "assistant"
+    return chats.select("conv_id", "turn", F.when(asks, "assistant").when(answers, "tool").otherwise(F.col("role")).alias("role"),
+                        F.when(asks, call).when(answers, result).otherwise(F.col("text")).alias("text"))
+
+
+@register("op9_chat_formatting")
+def q_chat_formatting(spark, sf_dir):
+    """Every turn as a linked, ordered and validated event."""
+    return chat_format.format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
