@@ -51,12 +51,11 @@ def test_all_null_machine_takes_next_machine_then_median(spark):
     assert by_id(out, "temperature") == {1: 1.0, 2: 2.0, 3: 1.5, 4: 1.5}
 
 
-@pytest.mark.parametrize("chunk", [1800, 3600, 86400 * 400])
-def test_forward_fill_across_chunks(spark, chunk):
-    rows = [(i, "M", T0 + dt.timedelta(minutes=37 * i), (float(i) if i % 4 == 0 else None), 0.0) for i in range(40)]
-    out = series.forward_fill(frame(spark, rows), ["vibration"], chunk_seconds=chunk)
-    got = by_id(out, "vibration")
-    assert got == {i: (None if i < 0 else float(i - i % 4)) for i in range(40)}
+@pytest.mark.parametrize("rows", [2, 7, 10_000])
+def test_forward_fill_across_blocks(spark, rows):
+    data = [(i, "M", T0 + dt.timedelta(minutes=37 * i), (float(i) if i % 4 == 0 else None), 0.0) for i in range(40)]
+    out = IM.fill_forward_back(frame(spark, data), ["vibration"], block_rows=rows)
+    assert by_id(out, "vibration") == {i: float(i - i % 4) for i in range(40)}
 
 
 # ------------------------------------------------------------------ windows
@@ -69,20 +68,20 @@ def _random_series(spark, n_machines=4, n=80, seed=7):
         for _ in range(n if m else 3 * n):  # machine 0 is the hot one
             t += dt.timedelta(minutes=rnd.choice([1, 5, 30, 90, 600]))
             v = None if rnd.random() < 0.05 else rnd.gauss(2, 1)
-            rows.append((rid, f"M{m}", t, v, rnd.gauss(70, 3)))
+            rows.append((rid, f"M{m}" if m < 3 else None, None if rnd.random() < 0.03 else t, v, rnd.gauss(70, 3)))
             rid += 1
     return frame(spark, rows)
 
 
-@pytest.mark.parametrize("chunk", [600, 3600, 86400])
-def test_chunked_rolling_equals_plain_window(spark, chunk):
+@pytest.mark.parametrize("rows", [10, 23, 100_000])
+def test_blocked_rolling_equals_plain_window(spark, rows):
     df = _random_series(spark)
-    w = Window.partitionBy("machine_id").orderBy("timestamp", "reading_id")
+    w = Window.partitionBy("machine_id").orderBy(F.col("timestamp").asc_nulls_last(), "reading_id")
     want = df.select("reading_id", F.avg("vibration").over(w.rowsBetween(-4, 0)).alias("m"),
                      F.stddev_pop("vibration").over(w.rowsBetween(-5, -1)).alias("s"))
     specs = [("m", lambda w: F.avg("vibration").over(w.rowsBetween(-4, 0))),
              ("s", lambda w: F.stddev_pop("vibration").over(w.rowsBetween(-5, -1)))]
-    got = series.rolling(df, specs, 5, chunk_seconds=chunk)
+    got = series.rolling(df, specs, 5, block_rows=rows)
     a = {r["reading_id"]: (r["m"], r["s"]) for r in want.collect()}
     b = {r["reading_id"]: (r["m"], r["s"]) for r in got.collect()}
     assert a.keys() == b.keys()
@@ -91,26 +90,48 @@ def test_chunked_rolling_equals_plain_window(spark, chunk):
             assert (x is None and y is None) or math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12)
 
 
-@pytest.mark.parametrize("chunk", [600, 86400])
-def test_sequence_and_last_n_equal_plain_window(spark, chunk):
+@pytest.mark.parametrize("rows", [1, 23, 100_000])
+def test_sequence_and_last_n_equal_plain_window(spark, rows):
     df = _random_series(spark)
-    w = Window.partitionBy("machine_id").orderBy("timestamp", "reading_id")
+    w = Window.partitionBy("machine_id").orderBy(F.col("timestamp").asc_nulls_last(), "reading_id")
     want = by_id(df.select("reading_id", F.row_number().over(w).alias("seq")), "seq")
-    got = by_id(series.sequence_number(df, chunk_seconds=chunk), "seq")
+    got = by_id(series.sequence_number(df, block_rows=rows), "seq")
     assert want == got
-    wd = Window.partitionBy("machine_id").orderBy(F.col("timestamp").desc(), F.col("reading_id").desc())
+    wd = Window.partitionBy("machine_id").orderBy(F.col("timestamp").desc_nulls_first(), F.col("reading_id").desc())
     want_last = by_id(df.select("reading_id", F.row_number().over(wd).alias("r")).where("r <= 7"), "r")
-    got_last = by_id(series.last_n(df, 7, chunk_seconds=chunk), "recency")
+    got_last = by_id(series.last_n(df, 7, block_rows=rows), "recency")
     assert want_last == got_last
 
 
-def test_rolling_plan_shuffles_readings_once(spark):
-    df = _random_series(spark)
-    plan = FE.rolling_features(df.withColumn("pressure", F.lit(5.0)).withColumn("current", F.lit(1.0))
-                               .withColumn("torque", F.lit(1.0)).withColumn("power_consumption", F.lit(1.0)))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    # one exchange on (machine, chunk) reused by both branches, one on the small head/tail set
-    assert "hashpartitioning(machine_id" in text
+def test_blocks_are_bounded_however_the_readings_lie(spark):
+    """A burst in one day, a long sparse tail and missing times: blocks of the asked size, none short but the last."""
+    burst = [(i, "HOT", T0 + dt.timedelta(seconds=i), 1.0, 1.0) for i in range(4000)]
+    tail = [(10_000 + i, "HOT", T0 + dt.timedelta(days=3 * i + 2), 1.0, 1.0) for i in range(60)]
+    lost = [(20_000 + i, "HOT", None, 1.0, 1.0) for i in range(5)]
+    small = [(30_000 + i, f"S{i % 50}", T0 + dt.timedelta(hours=i), 1.0, 1.0) for i in range(500)]
+    df = series.with_block(frame(spark, burst + tail + lost + small), block_rows=100)
+    sizes = {(r["machine_id"], r["_block"]): r["n"] for r in df.groupBy("machine_id", "_block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(b == 0 for m, b in sizes if m != "HOT")
+    hot = sorted((b, n) for (m, b), n in sizes.items() if m == "HOT")
+    assert all(n >= 50 for _, n in hot[:-1])
+    # one day in half a year is a single bucket here: finer blocks than a bucket are not made
+    even = frame(spark, burst + lost)
+    cut = series.with_block(even, block_rows=100).groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(cut) >= 30 and max(r["n"] for r in cut) <= 160
+
+
+def test_few_rows_are_repaired(spark, monkeypatch):
+    data = [(i, "M", T0 + dt.timedelta(seconds=i), float(i), 1.0) for i in range(20_000)]
+    df = series.with_block(frame(spark, data), block_rows=2000)
+    blocks = df.select("_block").distinct().count()
+    assert 5 <= blocks <= 20 and 2 * 4 * blocks < 0.01 * len(data)
+    single = FE.rolling_features(_random_series(spark).withColumn("pressure", F.lit(5.0)).withColumn("current", F.lit(1.0))
+                                 .withColumn("torque", F.lit(1.0)).withColumn("power_consumption", F.lit(1.0)))
+    single.collect()
+    text = single._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    # the readings themselves are dealt out once, by machine and block; borders and counts are small exchanges of their own
+    assert final.count("hashpartitioning(machine_id") - final.count("ReusedExchange") <= 4
 
 
 def test_single_reading_std_and_serving_fallback(spark):
@@ -232,11 +253,90 @@ def test_exact_quantiles_equal_numpy_through_histogram_rounds(spark):
     rnd = np.random.default_rng(11)
     vals = np.concatenate([rnd.normal(size=3000), np.full(500, 0.25), rnd.exponential(size=1500)])
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)] * 10, "x double")
-    q = exact_quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=4, small=50)
+    q = exact_quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=4)
     for p in [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]:
         assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    vals = [float("-inf"), -1e308, -1e-300, 0.0, 5e-324, 1e-300, 1.0, 1e308, float("inf"), float("nan"), float("nan")]
+    df = spark.createDataFrame([(v, None) for v in vals], "x double, y double")
+    q = exact_quantiles(df, ["x", "y"], [k / 10 for k in range(11)], bins=4)
+    assert [q[("x", k / 10)] for k in (1, 2, 3, 4, 5, 6, 7)] == vals[1:8] and math.isnan(q[("x", 1.0)])
+    assert q[("x", 0.0)] != q[("x", 0.0)] or q[("x", 0.0)] == float("-inf")
+    assert q[("y", 0.5)] is None
+
+
+def test_csv_by_name_bad_cells_and_stable_ids(spark, tmp_path):
+    from wearcast import schema as S
+    from wearcast.sources.tables import read_telemetry_csv
+    head = [S.TIME, S.KEY, *S.SENSORS, S.LABEL]
+    row = ["2024-01-01T00:00:00", "M1", *["1.5"] * len(S.SENSORS), "0"]
+
+    def write(folder, *files):
+        (tmp_path / folder).mkdir()
+        for k, lines in enumerate(files):
+            (tmp_path / folder / f"f{k}.csv").write_text("\n".join(",".join(x) for x in lines) + "\n")
+        return str(tmp_path / folder)
+
+    two = [row, row, [*row[:2], "", "NaN", *row[4:]]]
+    a = read_telemetry_csv(spark, write("a", [head, *two], [head, row])).collect()
+    b = read_telemetry_csv(spark, write("b", [head, row, two[2]], [head, row], [head, row])).collect()
+    assert len(a) == 4 and len({r[S.ROW_ID] for r in a}) == 4 and sorted(a, key=str) == sorted(b, key=str)
+    assert sum(r["vibration"] is None and r["temperature"] is None for r in a) == 1
+    swapped = [head[0], head[1], head[3], head[2], *head[4:]]
+    for bad in (write("c", [head, row], [swapped, row]), write("d", [head, [*row[:2], "abc", *row[3:]]])):
+        with pytest.raises(Exception):
+            read_telemetry_csv(spark, bad).collect()
+    with pytest.raises(ValueError):
+        read_telemetry_csv(spark, write("e", [head[:-1], row[:-1]]))
+
+
+def test_checkpoint_folder_is_never_silently_local():
+    from wearcast.session import checkpoint_dir
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, *_):
+            return self.value
+
+    class Context:
+        master, folder = "yarn", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def getConf(self):
+            return Conf(None)
+
+        def setCheckpointDir(self, path):
+            self.folder = path
+
+    class Session:
+        def __init__(self, value):
+            self.conf, self.sparkContext = Conf(value), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session(None))
+    assert checkpoint_dir(Session("hdfs:///shared")) == "hdfs:///shared"
+    local = Session(None)
+    local.sparkContext.master = "local[2]"
+    assert checkpoint_dir(local)
+
+
+def test_split_by_machine_and_one_class(spark):
+    from wearcast.operators import model as MD
+    from wearcast.operators import sampling as SA
+    df = spark.range(2000).selectExpr("id AS reading_id", "concat('M', id % 100) AS machine_id", "cast(0 as int) AS failure")
+    sides = SA.group_split(df).groupBy("machine_id").agg(F.count_distinct("split").alias("n"), F.max("split").alias("s")).collect()
+    assert {r["n"] for r in sides} == {1} and 5 < sum(r["s"] == "test" for r in sides) < 40
+    for weights in (MD.positive_weights, MD.balanced_weights):
+        with pytest.raises(ValueError):
+            weights(df)
+
+
 def test_blocked_scans_equal_pandas(spark):
     rnd = random.Random(5)
     rows = [(f"K{i:04d}", None if rnd.random() < 0.6 else float(i), rnd.randint(0, 3)) for i in range(300)]

@@ -48,14 +48,6 @@ def risk_level(p: str | Column, edges=None, labels=None) -> Column:
     return expr
 
 
-def risk_rank(level: str | Column) -> Column:
-    """Ordinal of a risk label (Low=1, Medium=2, High=3), NULL for NULL."""
-    expr = None
-    for i, lab in enumerate(S.RISK_LABELS, start=1):
-        expr = F.when(col(level) == lab, F.lit(i)) if expr is None else expr.when(col(level) == lab, F.lit(i))
-    return expr
-
-
 def above(p: str | Column, threshold: float = S.HIGH_RISK_THRESHOLD) -> Column:
     """Strict ``p > threshold``."""
     return col(p) > F.lit(threshold)

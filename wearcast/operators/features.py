@@ -19,7 +19,7 @@ from wearcast.operators import series
 def rolling_features(df: DataFrame, mean_cols: Sequence[str] = S.ROLLING_MEAN_INPUTS,
                      std_cols: Sequence[str] = S.ROLLING_STD_INPUTS, window: int = S.ROLLING_WINDOW,
                      key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID,
-                     chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                     block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """W3 + W4 + P3 + P4: training-time features.
 
     Rolling mean over the last ``window`` readings including the current one
@@ -31,7 +31,7 @@ def rolling_features(df: DataFrame, mean_cols: Sequence[str] = S.ROLLING_MEAN_IN
     specs += [(f"{c}_rolling_std",
                (lambda c: lambda w: F.coalesce(F.stddev_samp(c).over(w.rowsBetween(-k, 0)), F.lit(0.0)))(c))
               for c in std_cols]
-    out = series.rolling(df, specs, k, key, time, row_id, chunk_seconds)
+    out = series.rolling(df, specs, k, key, time, row_id, block_rows)
     return out.withColumn("power_efficiency", C.power_efficiency()) \
               .withColumn("temp_vib_interaction", C.temp_vib_interaction())
 
@@ -39,7 +39,7 @@ def rolling_features(df: DataFrame, mean_cols: Sequence[str] = S.ROLLING_MEAN_IN
 def serving_features(df: DataFrame, mean_cols: Sequence[str] = S.ROLLING_MEAN_INPUTS,
                      std_cols: Sequence[str] = S.ROLLING_STD_INPUTS, window: int = S.ROLLING_WINDOW,
                      key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID,
-                     chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                     block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """Live-scoring features from the *previous* ``window`` readings only.
 
     Until ``window`` earlier readings exist the mean is the current value and
@@ -60,30 +60,30 @@ def serving_features(df: DataFrame, mean_cols: Sequence[str] = S.ROLLING_MEAN_IN
 
     specs = [(f"{c}_rolling_avg", mean_spec(c)) for c in mean_cols]
     specs += [(f"{c}_rolling_std", std_spec(c)) for c in std_cols]
-    out = series.rolling(df, specs, window, key, time, row_id, chunk_seconds)
+    out = series.rolling(df, specs, window, key, time, row_id, block_rows)
     return out.withColumn("power_efficiency", C.power_efficiency()) \
               .withColumn("temp_vib_interaction", C.temp_vib_interaction())
 
 
 def sequence(df: DataFrame, key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID,
-             history: int = S.LIVE_HISTORY, chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+             history: int = S.LIVE_HISTORY, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """Reading counter per machine (1-based) and live ``runtime_hours`` = history length before the reading."""
-    out = series.sequence_number(df, "seq", None, key, time, row_id, chunk_seconds)
+    out = series.sequence_number(df, "seq", None, key, time, row_id, block_rows)
     return out.withColumn("history_len", F.least(F.col("seq") - 1, F.lit(history)).cast("long"))
 
 
 def run_progress(df: DataFrame, key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID,
-                 chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                 block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """``(position - 1) / readings of the machine``."""
-    out = series.sequence_number(df, "seq", "_n", key, time, row_id, chunk_seconds)
+    out = series.sequence_number(df, "seq", "_n", key, time, row_id, block_rows)
     return out.withColumn("progress", (F.col("seq") - 1) / F.col("_n")).drop("_n")
 
 
 def imminent_label(df: DataFrame, label: str = S.LABEL, horizon: float = 0.95, key: str = S.KEY,
                    time: str = S.TIME, row_id: str = S.ROW_ID,
-                   chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                   block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """1 when the machine fails at some point and the reading lies in its last (1 - horizon) share."""
-    seq = series.sequence_frame(df, "seq", "_n", key, time, row_id, chunk_seconds)
+    seq = series.sequence_frame(df, "seq", "_n", key, time, row_id, block_rows)
     seq = series.with_machine_values(seq, {"_fails": (F.max(label), "max")}, key)
     prog = seq.withColumn("progress", (F.col("seq") - 1) / F.col("_n"))
     return prog.withColumn("imminent", F.when((F.col("_fails") == 1) & (F.col("progress") > horizon), 1).otherwise(0)) \
@@ -91,12 +91,7 @@ def imminent_label(df: DataFrame, label: str = S.LABEL, horizon: float = 0.95, k
 
 
 def last_readings(df: DataFrame, n: int = S.LIVE_HISTORY, key: str = S.KEY, time: str = S.TIME,
-                  row_id: str = S.ROW_ID, chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                  row_id: str = S.ROW_ID, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """The latest ``n`` readings of each machine (``recency`` 1 = newest)."""
-    return series.last_n(df, n, "recency", key, time, row_id, chunk_seconds)
-
-
-def engineered(df: DataFrame, **kw) -> DataFrame:
-    """Sensors + the 7 engineered features (17 in ``S.ALL_FEATURES``)."""
-    return rolling_features(df, **kw)
+    return series.last_n(df, n, "recency", key, time, row_id, block_rows)
 

@@ -18,8 +18,8 @@ from wearcast.operators import series
 
 def health_index(df: DataFrame, alert: str = "prediction", key: str = S.KEY, time: str = S.TIME,
                  row_id: str = S.ROW_ID, up: float = S.HEALTH_STEP_UP,
-                 chunk_seconds: int = series.DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    seq = series.sequence_frame(df, "seq", None, key, time, row_id, chunk_seconds)
+                 block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+    seq = series.sequence_frame(df, "seq", None, key, time, row_id, block_rows)
     seq = series.with_machine_values(seq, {"_latch": (F.min(F.when(F.col(alert) == 1, F.col("seq"))), "min")}, key)
     out = seq.withColumn(
         "degradation",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearcast import schema as S
 from wearcast.functions.columns import safe_div
-from wearcast.operators.quantiles import exact_quantiles
+from wearcast.operators.quantiles import exact_quantiles, quantile_stats
 
 
 def dataset_profile(df: DataFrame, key: str = S.KEY, label: str = S.LABEL, time: str = S.TIME) -> DataFrame:
@@ -39,35 +39,32 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (`column`, nulls)")
 
 
-def numeric_columns(df: DataFrame, exclude: Sequence[str] = (S.LABEL,)) -> list[str]:
-    """Numeric columns of the schema, minus ``exclude``."""
+def numeric_columns(df: DataFrame, exclude: Sequence[str] = (S.LABEL, S.ROW_ID)) -> list[str]:
+    """Numeric columns of the schema, minus ``exclude`` (the label, and the row id, which is no measurement)."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def required_columns(spark: SparkSession, df: DataFrame, required: Sequence[str] = S.REQUIRED_COLUMNS) -> DataFrame:
-    """A4: ``(column, present)`` for each required column."""
-    have = set(df.columns)
-    return spark.createDataFrame([(c, c in have) for c in required], "column string, present boolean")
+def required_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_COLUMNS) -> DataFrame:
+    """A4: ``(column, present, is_feature, non_null)`` for each required column, from one aggregate over the table."""
+    have, numeric = set(df.columns), set(numeric_columns(df))
+    entry = [F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), F.lit(c in numeric).alias("is_feature"),
+                      (F.count(c) if c in have else F.lit(0)).cast("long").alias("non_null")) for c in required]
+    return df.agg(F.count(F.lit(1)).alias("_n"), F.array(*entry).alias("e")).select(F.explode("e").alias("e")).select("e.*")
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str] = S.SENSORS, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """A5: describe(): count, mean, sample std, min, exact 25/50/75 % (linear), max; one row per column.
 
-    Moments in one aggregation; quantiles by ``exact_quantiles`` (bounded
-    histogram rounds, never all values in one task).
+    One aggregation gives the moments and the first step of the quantiles; the
+    bounded rounds of ``exact_quantiles`` follow. One row a column reaches the driver.
     """
     cols = list(cols)
-    spark = df.sparkSession
-    moments = df.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                                F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"m{i}")
-                       for i, c in enumerate(cols)])
-    q = exact_quantiles(df, cols, list(probs))
-    qrows = [(c, *[q[(c, p)] for p in probs]) for c in cols]
-    qdf = spark.createDataFrame(qrows, "feature string, " + ", ".join(f"q{int(p * 100)} double" for p in probs))
-    long = moments.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("m"))
-                                              for i, c in enumerate(cols)])).alias("e")).select("e.feature", "e.m.*")
-    return long.join(F.broadcast(qdf), "feature").select(
-        "feature", "count", "mean", "std", "min", *[f"q{int(p * 100)}" for p in probs], "max")
+    m = df.agg(*quantile_stats(cols), *[x for i, c in enumerate(cols) for x in (
+        F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"), F.min(c).cast("double").alias(f"min{i}"), F.max(c).cast("double").alias(f"max{i}"))]).first()
+    q = exact_quantiles(df, cols, list(probs), stats=m)
+    rows = [(c, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], *[q[(c, p)] for p in probs], m[f"max{i}"]) for i, c in enumerate(cols)]
+    names = ", ".join(f"q{int(p * 100)} double" for p in probs)
+    return df.sparkSession.createDataFrame(rows, f"feature string, count long, mean double, std double, min double, {names}, max double")
 
 
 def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -85,17 +82,27 @@ def share_of_total(counts: DataFrame, count_col: str = "n", name: str = "pct") -
 def _pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson r per (a, b) over pairwise-complete rows; NULL where a side is constant (no ANSI failure).
 
-    Each reading becomes one short row per pair and one grouped aggregation
-    (three moments per pair, partial aggregation, one row per pair shuffled);
-    a single aggregate row with hundreds of buffers would fall out of code generation.
+    Each reading becomes one row per left column, with an integer key and its right columns beside it, so the grouped
+    aggregation has as many moment sets as a left column has partners and one row per left column to shuffle.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                         F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                                for a, b in pairs])).alias("e")
-    long = df.select(cells).select("e.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("feature_a", "feature_b").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"),
-        F.when(F.stddev_pop("x") > 0, F.lit(1.0)).alias("_self"))
+    left = list(dict.fromkeys(a for a, _ in pairs))
+    partners = {a: [b for x, b in pairs if x == a] for a in left}
+    wide = max(len(p) for p in partners.values())
+    null = F.lit(None).cast("double")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(a).cast("double").alias("x"),
+                                         *[(F.col(partners[a][j]).cast("double") if j < len(partners[a]) else null).alias(f"y{j}") for j in range(wide)])
+                                for i, a in enumerate(left)])).alias("e")
+    long = df.select(cells).select("e.*")
+    moments = []
+    for j in range(wide):
+        x, y = F.when(F.col(f"y{j}").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col(f"y{j}"))
+        moments += [F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{j}"), F.stddev_pop(x).alias(f"s{j}")]
+    st = long.groupBy("k").agg(*moments)
+    out = [F.struct(F.lit(i).alias("k"), F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for i, a in enumerate(left) for b in partners[a]]
+    every = F.array(*[F.struct(F.col(f"c{j}").alias("corr"), F.when(F.col(f"s{j}") > 0, F.lit(1.0)).alias("_self")) for j in range(wide)])
+    listed = F.filter(F.array(*out), lambda o: o["k"] == F.col("k"))
+    both = st.select("k", F.explode(F.arrays_zip(listed.alias("o"), every.alias("m"))).alias("z")).where(F.col("z.o").isNotNull())
+    return both.select("z.o.feature_a", "z.o.feature_b", "z.m.corr", "z.m._self")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = S.SENSORS + [S.LABEL]) -> DataFrame:

@@ -2,19 +2,29 @@
 
 A plain ``Window.partitionBy('machine_id')`` sends every reading of a machine
 to one task; a machine holding a third of the data would then be a third of the
-job in one task. Here each machine's series is cut into time chunks
-(``chunk_seconds`` wide) and the window runs per ``(machine, chunk)``. Results
-that need rows from earlier chunks are repaired exactly:
-
-* row frames looking back ``P`` rows: only the first ``P`` rows of a chunk can
-  be wrong. Those "head" rows plus the last ``P`` rows of every chunk ("tail")
-  contain, for every head row, its true ``P`` predecessors in order, so one more
-  window over head+tail (at most ``2P`` rows per chunk) gives the exact value.
-* running values (forward fill, sequence numbers) carry a per-chunk summary
-  (one row per machine and chunk) across chunks, then join it back.
-
-The big table is shuffled once, by ``(machine, chunk)``; the repairs touch a
-few rows per chunk. Order inside a machine is ``(time, row_id)``.
+job in one task. Here each machine's series is cut into blocks of about
+``BLOCK_ROWS`` readings and the window runs per ``(machine, block)``.
+
+Blocks follow from counts: a machine's time span is divided into equal buckets,
+``FINE`` for each block it needs, and its buckets, counted, are numbered so that
+a block closes after ``BLOCK_ROWS`` readings; one that stays under half of that
+joins its predecessor. Sparse stretches thus share a block and a burst gets
+blocks of its own, down to the width of a bucket. A machine with no more
+readings than a block holds has one block. Only counts are shuffled for this,
+and the numbering depends on the data alone, so a recomputed task cuts alike.
+Readings without a time stand in the machine's last block, after all others.
+
+Results that need rows from earlier blocks are repaired exactly:
+
+* row frames looking back ``P`` rows: only the first ``P`` rows of a block can
+  be wrong, and the last ``P`` rows of the block before hold what they lack (no
+  block but a machine's last is shorter). Both meet at the border, ``(machine,
+  block)`` again, in a window of at most ``2P`` rows. Machines with one block
+  repair nothing.
+* running values (forward fill, sequence numbers) carry a per-block summary
+  (one row per machine and block) across blocks, then join it back.
+
+Order inside a machine is ``(time, row_id)``, missing times last.
 """
 
 from __future__ import annotations
@@ -27,134 +37,140 @@ from pyspark.sql.window import Window
 
 from wearcast import schema as S
 
-CHUNK = "_chunk"
+BLOCK = "_block"
+NEXT = "_next"
 LOCAL_RN = "_lrn"
 LOCAL_CNT = "_lcnt"
-DEFAULT_CHUNK_SECONDS = 86400
+BLOCK_ROWS = 65_536
+FINE = 8
 
 # A window builder receives an ordered WindowSpec (partition + order, no frame)
 # and returns the windowed column, choosing its own frame.
 Builder = Callable[[WindowSpec], Column]
 
 
-def chunk_of(time: str, chunk_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(chunk_seconds * 1_000_000)).cast("long")
-
-
-def with_chunk(df: DataFrame, time: str = S.TIME, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_of(time, chunk_seconds))
+def in_order(time: str, row_id: str) -> list[Column]:
+    return [F.col(time).asc_nulls_last(), F.col(row_id).asc()]
+
+
+def with_block(df: DataFrame, key: str = S.KEY, time: str = S.TIME, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the machine's block (0, then increasing) and the number of its next one (NULL in its last)."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    spans = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    spans = spans.withColumn("_buckets", F.when(F.col("_n") <= block_rows, 0).otherwise(FINE * F.ceil(F.col("_n") / block_rows)))
+    spans = spans.withColumn("_width", F.expr("(_hi - _lo) div greatest(_buckets, 1) + 1"))
+    bucket = F.when(F.col("_buckets") == 0, F.lit(0)).when(F.col(time).isNull(), F.col("_buckets")).otherwise(F.expr("({}) div _width".format(
+        f"unix_micros(CAST(`{time}` AS TIMESTAMP)) - _lo"))).cast("long")
+    placed = df.join(spans, df[key].eqNullSafe(F.col("_k")), "left").withColumn("_bucket", bucket)
+    hist = placed.where(F.col("_buckets") > 0).groupBy(F.col("_k").alias("_bk"), F.col("_bucket").alias("_bb")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_bk").orderBy("_bb")
+    raw = hist.withColumn("_raw", F.floor(F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / block_rows).cast("long"))
+    sizes = raw.groupBy("_bk", "_raw").agg(F.sum("_c").alias("_size"))
+    wb = Window.partitionBy("_bk").orderBy("_raw")
+    # two neighbours are never both short: a short one gives the next the rest of its own range
+    merged = sizes.withColumn("_b", F.when((F.col("_size") * 2 < block_rows), F.coalesce(F.lag("_raw").over(wb), F.col("_raw"))).otherwise(F.col("_raw")))
+    merged = merged.withColumn("_nb", F.min(F.when(F.col("_b") == F.col("_raw"), F.col("_raw"))).over(wb.rowsBetween(1, Window.unboundedFollowing))) \
+        .select(F.col("_bk").alias("_mk"), F.col("_raw").alias("_mr"), "_b", "_nb")
+    blocks = raw.join(merged, F.col("_bk").eqNullSafe(F.col("_mk")) & (F.col("_raw") == F.col("_mr"))).select("_bk", "_bb", "_b", "_nb")
+    out = placed.join(blocks, F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_bucket") == F.col("_bb")), "left")
+    return out.select(*df.columns, F.coalesce("_b", F.lit(0)).cast("long").alias(BLOCK), F.col("_nb").cast("long").alias(NEXT))
 
 
 def _local(df: DataFrame, key: str, time: str, row_id: str) -> tuple[DataFrame, WindowSpec]:
-    wc = Window.partitionBy(key, CHUNK).orderBy(time, row_id)
+    wc = Window.partitionBy(key, BLOCK).orderBy(*in_order(time, row_id))
     out = (df.withColumn(LOCAL_RN, F.row_number().over(wc))
-             .withColumn(LOCAL_CNT, F.count(F.lit(1)).over(Window.partitionBy(key, CHUNK))))
+             .withColumn(LOCAL_CNT, F.count(F.lit(1)).over(Window.partitionBy(key, BLOCK))))
     return out, wc
 
 
 def rolling(df: DataFrame, specs: Sequence[tuple[str, Builder]], lookback: int,
-            key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID,
-            chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+            key: str = S.KEY, time: str = S.TIME, row_id: str = S.ROW_ID, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add windowed columns whose frames reach at most ``lookback`` rows back (and none ahead).
 
     ``specs`` is a list of ``(name, builder)``; the builder gets the ordered
     window and applies its own ``rowsBetween(-k, j)`` with ``k <= lookback``
     and ``j <= 0``. Results equal ``builder(Window.partitionBy(key).orderBy(time,
-    row_id))`` exactly.
+    row_id))`` exactly, missing times last.
     """
     names = [n for n, _ in specs]
-    base, wc = _local(with_chunk(df, time, chunk_seconds), key, time, row_id)
+    base, wc = _local(with_block(df, key, time, max(block_rows, 2 * lookback)), key, time, row_id)
+    # All branches start from the same windowed plan, so the (machine, block) shuffle is done once and reused.
     local = base.select("*", *[b(wc).alias(n) for n, b in specs])
-    # Both branches start from the same windowed plan, so the (machine, chunk) shuffle is done once and reused.
-    settled = local.where(F.col(LOCAL_RN) > lookback)
-    edge = local.where((F.col(LOCAL_RN) <= lookback) | (F.col(LOCAL_RN) > F.col(LOCAL_CNT) - lookback)).drop(*names)
-    wm = Window.partitionBy(key).orderBy(time, row_id)
-    repaired = edge.select("*", *[b(wm).alias(n) for n, b in specs]).where(F.col(LOCAL_RN) <= lookback)
-    out = settled.unionByName(repaired)
-    return out.drop(CHUNK, LOCAL_RN, LOCAL_CNT).select(*df.columns, *names)
-
-
-def forward_fill(df: DataFrame, cols: Sequence[str], key: str = S.KEY, time: str = S.TIME,
-                 row_id: str = S.ROW_ID, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Replace each NULL by the last non-NULL value earlier in the same machine."""
-    chunked = with_chunk(df, time, chunk_seconds)
-    order = F.struct(F.col(time), F.col(row_id))
-    # Last non-null value of each column per (machine, chunk): partial aggregation, tiny shuffle.
-    summary = chunked.groupBy(key, CHUNK).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_last_{c}") for c in cols])
-    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(key, CHUNK, *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}")
-                                         for c in cols])
-    wc = Window.partitionBy(key, CHUNK).orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.select(*[F.col(c) for c in chunked.columns if c not in cols],
-                           *[F.last(c, ignorenulls=True).over(wc).alias(c) for c in cols])
-    joined = local.join(carry, [key, CHUNK], "left")
-    filled = [F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) for c in cols]
-    return joined.select(*[F.col(c) if c not in cols else filled[list(cols).index(c)] for c in df.columns])
-
-
-def chunk_offsets(df: DataFrame, key: str = S.KEY, time: str = S.TIME,
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Per (machine, chunk): rows in earlier chunks (``_before``) and rows in the machine (``_total``)."""
-    counts = with_chunk(df, time, chunk_seconds).groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy(CHUNK)
+    head = (F.col(LOCAL_RN) <= lookback) & (F.col(BLOCK) > 0)
+    tail = (F.col(LOCAL_RN) > F.col(LOCAL_CNT) - lookback) & F.col(NEXT).isNotNull()
+    # a row may be both; the copy at the next border is context only
+    border = F.array_compact(F.array(
+        F.when(head, F.struct(F.col(BLOCK).alias("at"), F.lit(True).alias("own"))),
+        F.when(tail, F.struct(F.col(NEXT).alias("at"), F.lit(False).alias("own")))))
+    edge = local.drop(*names).where(head | tail).select(*df.columns, F.explode(border).alias("_e"))
+    wm = Window.partitionBy(key, F.col("_e.at")).orderBy(*in_order(time, row_id))
+    repaired = edge.select("*", *[b(wm).alias(n) for n, b in specs]).where("_e.own")
+    return local.where(~head).select(*df.columns, *names).unionByName(repaired.select(*df.columns, *names))
+
+
+def _with_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """Join a per-(machine, block) summary to the readings, on the key they are already partitioned by."""
+    s = summary.withColumnsRenamed({key: "_sk", BLOCK: "_sb"})
+    return rows.join(s, rows[key].eqNullSafe(F.col("_sk")) & (rows[BLOCK] == F.col("_sb")), "left").drop("_sk", "_sb")
+
+
+def block_offsets(blocked: DataFrame, key: str = S.KEY) -> DataFrame:
+    """Per (machine, block): rows in earlier blocks (``_before``) and rows in the machine (``_total``)."""
+    counts = blocked.groupBy(key, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy(BLOCK)
     return counts.select(
-        key, CHUNK,
+        key, BLOCK,
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(key)).alias("_total"))
 
 
 def sequence_number(df: DataFrame, name: str = "seq", total: str | None = None, key: str = S.KEY,
-                    time: str = S.TIME, row_id: str = S.ROW_ID,
-                    chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                    time: str = S.TIME, row_id: str = S.ROW_ID, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """1-based position of each reading within its machine; optionally the machine's row count."""
-    return sequence_frame(df, name, total, key, time, row_id, chunk_seconds).drop(CHUNK)
+    return sequence_frame(df, name, total, key, time, row_id, block_rows).drop(BLOCK)
 
 
 def with_machine_values(seq_df: DataFrame, aggs: dict[str, tuple[Column, str]], key: str = S.KEY) -> DataFrame:
     """Attach per-machine aggregates to every reading without joining on the machine key alone.
 
-    ``seq_df`` carries ``CHUNK`` (as returned by ``sequence_frame``). Each
-    ``name -> (partial_expr, merge)`` is aggregated per (machine, chunk) - the
-    key the rows are already partitioned by - merged over the machine's chunks
+    ``seq_df`` carries ``BLOCK`` (as returned by ``sequence_frame``). Each
+    ``name -> (partial_expr, merge)`` is aggregated per (machine, block) - the
+    key the rows are already partitioned by - merged over the machine's blocks
     with a window on that small summary (``merge`` is ``min``/``max``/``sum``),
-    and joined back on (machine, chunk).
+    and joined back on (machine, block).
     """
     merge_fn = {"min": F.min, "max": F.max, "sum": F.sum}
-    part = seq_df.groupBy(key, CHUNK).agg(*[expr.alias(f"_p_{n}") for n, (expr, _) in aggs.items()])
+    part = seq_df.groupBy(key, BLOCK).agg(*[expr.alias(f"_p_{n}") for n, (expr, _) in aggs.items()])
     w = Window.partitionBy(key)
-    summary = part.select(key, CHUNK, *[merge_fn[m](f"_p_{n}").over(w).alias(n) for n, (_, m) in aggs.items()])
-    return seq_df.join(summary, [key, CHUNK], "left")
+    summary = part.select(key, BLOCK, *[merge_fn[m](f"_p_{n}").over(w).alias(n) for n, (_, m) in aggs.items()])
+    return _with_summary(seq_df, summary, key)
 
 
 def sequence_frame(df: DataFrame, name: str = "seq", total: str | None = None, key: str = S.KEY,
-                   time: str = S.TIME, row_id: str = S.ROW_ID,
-                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """``sequence_number`` that keeps the ``CHUNK`` column for further per-(machine, chunk) work."""
-    base, _ = _local(with_chunk(df, time, chunk_seconds), key, time, row_id)
-    offs = chunk_offsets(df, key, time, chunk_seconds)
-    out = base.join(offs, [key, CHUNK], "left").withColumn(name, (F.col("_before") + F.col(LOCAL_RN)).cast("long"))
+                   time: str = S.TIME, row_id: str = S.ROW_ID, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``sequence_number`` that keeps the ``BLOCK`` column for further per-(machine, block) work."""
+    base, _ = _local(with_block(df, key, time, block_rows), key, time, row_id)
+    out = _with_summary(base, block_offsets(base, key), key).withColumn(name, (F.col("_before") + F.col(LOCAL_RN)).cast("long"))
     extra = [F.col("_total").cast("long").alias(total)] if total else []
-    return out.select(*[F.col(c) for c in df.columns], F.col(CHUNK), F.col(name), *extra)
+    return out.select(*[F.col(c) for c in df.columns], F.col(BLOCK), F.col(name), *extra)
 
 
 def last_n(df: DataFrame, n: int, name: str = "recency", key: str = S.KEY, time: str = S.TIME,
-           row_id: str = S.ROW_ID, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """The latest ``n`` readings of each machine, ``recency`` 1 = newest.
+           row_id: str = S.ROW_ID, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The latest ``n`` readings of each machine, ``recency`` 1 = newest (a missing time counts as latest).
 
-    Only chunks with fewer than ``n`` readings in later chunks can contribute
-    (found on the per-(machine, chunk) count summary); each of those keeps its
+    Only blocks with fewer than ``n`` readings in later blocks can contribute
+    (found on the per-(machine, block) count summary); each of those keeps its
     own latest ``n`` rows, and only those candidates - O(n) per machine however
     long its history - are ranked per machine.
     """
-    chunked = with_chunk(df, time, chunk_seconds)
-    counts = chunked.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    needed = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))) \
-                   .where(F.col("_later") < n).select(key, CHUNK)
-    desc = [F.col(time).desc(), F.col(row_id).desc()]
-    cand = chunked.join(needed, [key, CHUNK], "left_semi") \
-                  .withColumn("_ldr", F.row_number().over(Window.partitionBy(key, CHUNK).orderBy(*desc))) \
+    blocked = with_block(df, key, time, block_rows)
+    offsets = block_offsets(blocked, key).withColumn("_size", F.coalesce(
+        F.lead("_before").over(Window.partitionBy(key).orderBy(BLOCK)), F.col("_total")) - F.col("_before"))
+    needed = offsets.where(F.col("_total") - F.col("_before") - F.col("_size") < n).select(F.col(key).alias("_sk"), F.col(BLOCK).alias("_sb"))
+    latest = [F.col(time).desc_nulls_first(), F.col(row_id).desc()]
+    cand = blocked.join(needed, blocked[key].eqNullSafe(F.col("_sk")) & (blocked[BLOCK] == F.col("_sb")), "left_semi") \
+                  .withColumn("_ldr", F.row_number().over(Window.partitionBy(key, BLOCK).orderBy(*latest))) \
                   .where(F.col("_ldr") <= n)
-    ranked = cand.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*desc)))
+    ranked = cand.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*latest)))
     return ranked.where(F.col(name) <= n).select(*df.columns, name)

@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wearcast import schema as S
-from wearcast.operators import features, impute
+from wearcast.operators import features, impute, series
 from wearcast.sources.tables import FIXTURE_SQL, fixture_telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,10 +44,6 @@ def with_fixture(body: str) -> str:
     return "WITH " + FIXTURE_SQL + ",\n" + body
 
 
-def sql_r6(cols):
-    return ", ".join(f"{R6(c)} AS {c}" for c in cols)
-
-
 SENS = S.SENSORS
 SENS_Q = [f'"{c}"' if c == "current" else c for c in SENS]
 
@@ -56,9 +53,9 @@ def _q(c: str) -> str:
 
 
 # ---------------------------------------------------------------- imputation
-def imputed_df(spark, sf_dir, chunk_seconds=86400):
+def imputed_df(spark, sf_dir, block_rows=series.BLOCK_ROWS):
     t = fixture_telemetry(spark, sf_dir)
-    return impute.impute(t.drop("p", "prediction"), SENS, chunk_seconds=chunk_seconds)
+    return impute.impute(t.drop("p", "prediction"), SENS, block_rows=block_rows)
 
 
 @register("imputed", with_fixture(
@@ -152,18 +149,16 @@ def q_null_counts(spark, sf_dir):
     return PR.null_counts(raw(spark, sf_dir))
 
 
+_REQUIRED = S.REQUIRED_COLUMNS + ["reading_id", "torque", "humidity"]
+
+
 @register("required_columns", with_fixture(
-    "cols AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM telemetry)), "
-    "req(\"column\") AS (VALUES " + ", ".join(f"('{c}')" for c in S.REQUIRED_COLUMNS + ["reading_id", "torque", "humidity"]) + ") "
-    "SELECT r.\"column\", EXISTS (SELECT 1 FROM cols WHERE column_name = r.\"column\") AS present, "
-    "EXISTS (SELECT 1 FROM cols WHERE column_name = r.\"column\" AND column_name <> 'failure' "
-    "AND column_type IN ('DOUBLE', 'BIGINT', 'INTEGER')) AS is_feature FROM req r"))
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c != 'humidity'} AS present, {c in SENS} AS is_feature, "
+                       f"{'CAST(0 AS BIGINT)' if c == 'humidity' else f'count({_q(c)})'} AS non_null FROM telemetry" for c in _REQUIRED)
+    .replace("CAST(0 AS BIGINT) AS non_null FROM telemetry", "CAST(0 AS BIGINT) AS non_null")))
 def q_required_columns(spark, sf_dir):
-    t = raw(spark, sf_dir)
-    req = S.REQUIRED_COLUMNS + ["reading_id", "torque", "humidity"]
-    numeric = set(PR.numeric_columns(t))
-    present = PR.required_columns(spark, t, req)
-    return present.withColumn("is_feature", F.col("column").isin(list(numeric)))
+    """A4 + P2: which required columns are there, which are features, and how many values they hold."""
+    return PR.required_columns(raw(spark, sf_dir), _REQUIRED)
 
 
 _QSQL = " UNION ALL ".join(
@@ -453,9 +448,8 @@ def q_alert_zone(spark, sf_dir):
     + " AS elapsed_s FROM k"))
 def q_elapsed(spark, sf_dir):
     kept = features.last_readings(raw(spark, sf_dir), S.LIVE_HISTORY)
-    start = kept.groupBy(S.KEY).agg(F.min(S.TIME).alias("_t0"))
-    out = kept.join(start, S.KEY).select(S.ROW_ID, S.KEY, r6(C.elapsed_seconds(S.TIME, "_t0")).alias("elapsed_s"))
-    return out
+    kept = kept.withColumn("_t0", F.min(S.TIME).over(Window.partitionBy(S.KEY)))  # at most 100 rows a machine
+    return kept.select(S.ROW_ID, S.KEY, r6(C.elapsed_seconds(S.TIME, "_t0")).alias("elapsed_s"))
 
 
 # ---------------------------------------------------------------- feature selection

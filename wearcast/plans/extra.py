@@ -1,18 +1,17 @@
 """Queries for models, sampling, sinks and streaming.
 
-Most are checked by row count (randomness, model fits, streams) and by the
-tests. Where a round trip or a stream must reproduce a batch result exactly,
-the batch oracle SQL is reused: the CSV round trip equals the fixture, the
-streamed serving features equal ``serving_features``, the streamed health
-index equals ``health_index``, the streamed history equals ``last_n``.
+Where a round trip or a stream must reproduce a batch result exactly, the batch
+oracle SQL is reused: the CSV round trip equals the fixture, the streamed
+serving features equal ``serving_features``, the streamed health index equals
+``health_index``, the streamed history equals ``last_n``. Models are checked by
+what holds row by row for any fit (which rows are held out, ranges, bands,
+metrics that follow from counts), streamed scores against the batch scores.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from wearcast.operators import sampling as SA
 from wearcast.operators import scoring as SC
 from wearcast.operators import selection as SEL
 from wearcast.plans import catalog as CAT
+from wearcast.plans import training
 from wearcast.plans.catalog import ORACLES, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
 from wearcast.session import checkpoint_dir, ship_package
 from wearcast.sources.sinks import write_csv, write_sorted_csv
@@ -46,6 +46,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(S.ROW_ID, S.KEY, S.TIME, *SENS, S.LABEL)
 
 
+@register("csv_without_ids", with_fixture(
+    "SELECT machine_id, \"timestamp\", " + ", ".join(_q(c) for c in SENS) + ", failure, true AS has_id FROM telemetry"))
+def q_csv_without_ids(spark, sf_dir):
+    """The reference's own 13-column shape, without row ids, in two files."""
+    path = scratch(spark, "csv13")
+    write_csv(raw(spark, sf_dir).drop(S.ROW_ID).repartition(2, S.KEY), path)
+    back = read_telemetry_csv(spark, path)
+    return back.select(S.KEY, S.TIME, *SENS, S.LABEL, F.col(S.ROW_ID).isNotNull().alias("has_id"))
+
+
 @register("high_risk_file", ORACLES["high_risk"])
 def q_high_risk_file(spark, sf_dir):
     """The sorted high-risk list written to CSV and read back."""
@@ -58,6 +68,23 @@ def q_high_risk_file(spark, sf_dir):
     return back.withColumn("Failure_Probability", r6("Failure_Probability"))
 
 
+@register("prediction_file", ORACLES["prediction_results"])
+def q_prediction_file(spark, sf_dir):
+    """S3: the whole prediction table written to CSV and read back."""
+    path = scratch(spark, "predictions")
+    table = CAT.results_df(spark, sf_dir)
+    write_csv(table, path)
+    back = spark.read.schema(table.schema).option("header", True).csv(path)
+    return back.withColumn("Failure_Probability", r6("Failure_Probability"))
+
+
+@register("results_totals", "WITH s AS (" + ORACLES["risk_summary"] + ") SELECT readings AS total, high_risk, medium_risk, low_risk FROM s")
+def q_results_totals(spark, sf_dir):
+    """The totals object that goes with the JSON records, parsed back."""
+    js = SC.results_totals_json(CAT.results_df(spark, sf_dir))
+    return js.select(F.from_json("json", "total long, high_risk long, medium_risk long, low_risk long").alias("r")).select("r.*")
+
+
 @register("feature_list")
 def q_feature_list(spark, sf_dir):
     """The selected features written as (ordinal, feature) and read back in order."""
@@ -79,7 +106,14 @@ ORACLES["feature_list"] = _feature_list_sql()
 
 
 # ---------------------------------------------------------------- sampling
-@register("stratified_split")
+_HASH_SQL = f"CAST('0x' || substr(md5(CAST(reading_id AS VARCHAR) || ':{S.SEED}'), 1, 15) AS BIGINT)"
+_SPLIT_SQL = (f"h AS (SELECT reading_id, failure, machine_id, {_HASH_SQL} AS h FROM telemetry),\n"
+              "o AS (SELECT *, row_number() OVER (PARTITION BY failure ORDER BY h, reading_id) AS r, "
+              "round(count(*) OVER (PARTITION BY failure) * 0.2) AS k FROM h),\n"
+              "split AS (SELECT reading_id, machine_id, failure, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split FROM o)\n")
+
+
+@register("stratified_split", with_fixture(_SPLIT_SQL + "SELECT reading_id, failure, split FROM split"))
 def q_stratified_split(spark, sf_dir):
     """M1: exact per-class 20 % test share."""
     return SA.stratified_split(raw(spark, sf_dir)).select(S.ROW_ID, S.LABEL, "split")
@@ -93,74 +127,82 @@ def q_split_shares(spark, sf_dir):
     return sp.groupBy(S.LABEL).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("n_test"))
 
 
-@register("null_mask")
-def q_null_mask(spark, sf_dir):
-    """M2: seeded 2 % NULL masking of every sensor."""
-    return SA.mask_nulls(raw(spark, sf_dir)).select(S.ROW_ID, *SENS)
-
-
-@register("seeded_shuffle")
+@register("seeded_shuffle", with_fixture(f"SELECT reading_id, machine_id, {_HASH_SQL} AS shuffle_key FROM telemetry"))
 def q_seeded_shuffle(spark, sf_dir):
-    """Reproducible shuffled order."""
+    """Reproducible shuffled order, with the key it is sorted by."""
     return SA.seeded_shuffle(raw(spark, sf_dir).select(S.ROW_ID, S.KEY))
 
 
 # ---------------------------------------------------------------- models
-def _engineered(spark, sf_dir):
-    from wearcast.plans.training import engineered_table
-    return engineered_table(raw(spark, sf_dir))
-
-
-@register("feature_importance")
-def q_feature_importance(spark, sf_dir):
-    """M3: forest importances of the 17 features (100 trees, all rows)."""
-    return MD.feature_importance(_engineered(spark, sf_dir), S.ALL_FEATURES)
+def _fit_pair(spark, sf_dir):
+    """The training job with the reference settings: run once per session and input folder and kept on the session,
+    since five queries look at its different results."""
+    kept = spark.__dict__.setdefault("_wearcast_trained", {})
+    if sf_dir not in kept:
+        kept[sf_dir] = training.train(raw(spark, sf_dir))
+    return kept[sf_dir]
 
 
-_TRAINED: dict = {}
+_IN_UNIT = "p BETWEEN 0 AND 1"
 
 
-def _fit_pair(spark, sf_dir):
-    """One full training run per input folder and session, shared by the model queries."""
-    from wearcast.plans import training
-    key = (id(spark), sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = training.train(raw(spark, sf_dir))
-    return _TRAINED[key]
+@register("feature_importance", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', true, true)" for f in S.ALL_FEATURES) + ") t(feature, in_range, sums_to_one)")
+def q_feature_importance(spark, sf_dir):
+    """M3: forest importances of the 17 features over all rows; each lies in [0, 1] and they add up to 1."""
+    imp = _fit_pair(spark, sf_dir).importance.select("feature", "importance")
+    total = imp.agg(F.sum("importance").alias("total"))
+    return imp.crossJoin(F.broadcast(total)).select(  # one row
+        "feature", F.col("importance").between(0, 1).alias("in_range"), (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@register("model_scores")
+@register("model_scores", with_fixture(
+    _SPLIT_SQL + "SELECT reading_id, machine_id AS Machine_ID, CASE WHEN failure = 1 THEN 'Failure' ELSE 'Normal' END AS Actual_Status, "
+    "true AS p_in_range, true AS band_follows_p, true AS correct_follows FROM split WHERE split = 'test'"))
 def q_model_scores(spark, sf_dir):
-    """M4 + M5 + M7 + M8 + M9: both models fitted with the reference settings; the chosen one scores the hold-out."""
-    res = _fit_pair(spark, sf_dir)
-    return res.results
+    """M4 + M5 + M7 + M8 + M9: both models fitted with the reference settings; the chosen one scores the hold-out. The
+    scores come with the checks that hold for any model: range, risk band and correctness follow from p and the label."""
+    r = _fit_pair(spark, sf_dir).results
+    p = F.col("Failure_Probability")
+    band = F.when(p > 0.7, "High").when(p > 0.3, "Medium").when(p > 0, "Low")
+    return r.select(S.ROW_ID, "Machine_ID", "Actual_Status", p.between(0, 1).alias("p_in_range"),
+                    F.col("Risk_Level").eqNullSafe(band).alias("band_follows_p"),
+                    (F.col("Correct_Prediction") == (F.col("Actual_Status") == F.col("Predicted_Status"))).alias("correct_follows"))
 
 
-@register("model_choice")
+@register("model_choice", "SELECT * FROM (VALUES ('Gradient-Boosted Trees', true, true), ('Random Forest', true, true)) t(model, metrics_follow, choice_follows)")
 def q_model_choice(spark, sf_dir):
-    """M8: hold-out metrics of both models and which one was chosen (higher F1, tie -> forest)."""
+    """M8: hold-out metrics of both models, worked out again from the confusion counts, and the choice (higher F1, tie -> forest)."""
     res = _fit_pair(spark, sf_dir)
     rows = []
     for f in [res.rf, res.gbt]:
         m = f.metrics
-        rows.append((f.name, float(m["accuracy"]), float(m["precision"]), float(m["recall"]), float(m["f1"]),
-                     None if m["auc"] is None else float(m["auc"]), f.name == res.best.name))
-    return spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, "
-                                       "auc double, chosen boolean")
-
-
-@register("model_roundtrip")
+        rows.append((f.name, *(int(m[k]) for k in ("tp", "fp", "fn", "tn")), float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
+                     float(m["f1"]), f.name == res.best.name))
+    df = spark.createDataFrame(rows, "model string, tp long, fp long, fn long, tn long, accuracy double, precision double, recall double, f1 double, chosen boolean")
+    precision = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    accuracy = F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    same = (F.abs(F.col("accuracy") - accuracy) < 1e-9) & (F.abs(F.col("precision") - precision) < 1e-9) & (F.abs(F.col("recall") - recall) < 1e-9) & (F.abs(F.col("f1") - f1) < 1e-9)
+    boosted_wins = res.gbt.metrics["f1"] > res.rf.metrics["f1"]
+    return df.select("model", same.alias("metrics_follow"), (F.col("chosen") == ((F.col("model") == res.gbt.name) == F.lit(boosted_wins))).alias("choice_follows"))
+
+
+@register("model_roundtrip", with_fixture(_SPLIT_SQL + "SELECT reading_id, true AS equal FROM split WHERE split = 'test'"))
 def q_model_roundtrip(spark, sf_dir):
-    """Save -> load gives the same scores."""
-    data = _engineered(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    feats = S.ALL_FEATURES[:10]
-    m = MD.fit(MD.balanced_weights(data), feats, MD.random_forest(numTrees=20, maxDepth=6))
+    """The chosen model, saved and loaded, gives the hold-out the same scores."""
+    res = _fit_pair(spark, sf_dir)
     path = scratch(spark, "model")
-    MD.save(m, path)
-    back = MD.load(path)
-    a = MD.score(m, data, [S.ROW_ID]).withColumnRenamed("p", "p_saved").drop("prediction")
-    b = MD.score(back, data, [S.ROW_ID]).withColumnRenamed("p", "p_loaded").drop("prediction")
-    return a.join(b, S.ROW_ID).withColumn("equal", F.abs(F.col("p_saved") - F.col("p_loaded")) < 1e-12)
+    MD.save(res.best.model, path)
+    test = _engineered(spark, sf_dir).select(S.ROW_ID, *res.selected).join(
+        SA.stratified_split(raw(spark, sf_dir)).where("split = 'test'").select(S.ROW_ID), S.ROW_ID)
+    loaded = MD.score(MD.load(path), test, [S.ROW_ID])
+    saved = res.results.select(S.ROW_ID, F.col("Failure_Probability").alias("saved"))
+    return loaded.join(saved, S.ROW_ID).select(S.ROW_ID, (F.abs(F.col("p") - F.col("saved")) < 1e-9).alias("equal"))
+
+
+def _engineered(spark, sf_dir):
+    return training.engineered_table(raw(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- streaming
@@ -179,7 +221,7 @@ def stage_stream_input(spark: SparkSession, sf_dir: str, slices: int = 3) -> tup
     return scratch(spark, "stream-in"), parts
 
 
-def run_in_slices(spark, sf_dir, build, name: str, foreach: bool = False):
+def run_in_slices(spark, sf_dir, build, name: str, foreach: bool = False, run_ids: bool = False):
     """Write each time slice, then run the stream with ``availableNow`` from its checkpoint: state crosses
     batches and every run is a restart."""
     ship_package(spark)
@@ -195,7 +237,7 @@ def run_in_slices(spark, sf_dir, build, name: str, foreach: bool = False):
             q = out.writeStream.foreachBatch(sink_batch).option("checkpointLocation", ckpt) \
                    .outputMode("update").trigger(availableNow=True).start()
         else:
-            q = live.write_log(out, sink, ckpt)
+            q = live.write_log(out, sink, ckpt, run_id=f"run-{i}" if run_ids else None)
         q.awaitTermination()
     return spark.read.parquet(sink)
 
@@ -236,17 +278,27 @@ def q_stream_alert_counts(spark, sf_dir):
     return out.join(latest, [S.KEY, "batch_id"]).select(S.KEY, "readings", "alerts")
 
 
-@register("stream_scores")
+@register("stream_scores", with_fixture("SELECT reading_id, machine_id, true AS p_in_range, true AS equals_batch_score, true AS run_is_tagged, "
+                                        "true AS alert_follows FROM telemetry"))
 def q_stream_scores(spark, sf_dir):
-    """T1 + S7 + S9: features -> fitted pipeline -> scored log with the JSON message, from a checkpointed stream."""
-    batch = FE.serving_features(raw(spark, sf_dir))
-    feats = [f for f in S.ALL_FEATURES if f not in ("runtime_hours",)][:10]
-    model = MD.fit(MD.balanced_weights(batch), feats, MD.random_forest(numTrees=20, maxDepth=6))
+    """T1 + S7 + S9: the chosen model and its feature list, saved, loaded and applied to a stream of readings; the log
+    carries a run id and the JSON message, the alerts are a stream of their own. Every row is compared with the batch
+    score of the same serving features."""
+    res = _fit_pair(spark, sf_dir)
+    model_path, list_path = scratch(spark, "model"), scratch(spark, "features")
+    MD.save(res.best.model, model_path)
+    SEL.write_feature_list(res.selected, list_path, spark)
+    model, feats = MD.load(model_path), SEL.read_feature_list(spark, list_path)
+    keep = [S.ROW_ID, S.KEY, S.TIME, "seq", "degradation", *feats, *[c for c in ("vibration", "temperature", "pressure") if c not in feats]]
 
-    def features_only(readings):
+    def scored(readings):
         # the fixture's stand-in prediction drives the health latch but is not carried into scoring
-        return live.serving_stream(readings, [S.ROW_ID, S.KEY, S.TIME] + SENS + [S.LABEL])
-
-    out = run_in_slices(spark, sf_dir, lambda r: live.with_message(live.score_stream(
-        features_only(r), model, [S.ROW_ID, S.KEY, S.TIME, "seq", "degradation", *feats])), "scores")
-    return out
+        features = live.serving_stream(readings, [S.ROW_ID, S.KEY, S.TIME] + SENS + [S.LABEL])
+        return live.with_message(live.score_stream(features, model, keep))
+
+    log = run_in_slices(spark, sf_dir, scored, "scores", run_ids=True)
+    alerts = run_in_slices(spark, sf_dir, lambda r: live.alerts(scored(r)), "alerts").select(S.ROW_ID, F.lit(True).alias("alerted"))
+    batch = MD.score(model, FE.serving_features(raw(spark, sf_dir)), [S.ROW_ID]).select(S.ROW_ID, F.col("p").alias("batch_p"))
+    return log.join(batch, S.ROW_ID).join(alerts, S.ROW_ID, "left").select(
+        S.ROW_ID, S.KEY, F.col("probability").between(0, 1).alias("p_in_range"), (F.abs(F.col("probability") - F.col("batch_p")) < 1e-9).alias("equals_batch_score"),
+        F.col("run_id").startswith("run-").alias("run_is_tagged"), (F.coalesce("alerted", F.lit(False)) == (F.col("prediction") == 1)).alias("alert_follows"))

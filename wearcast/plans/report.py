@@ -9,14 +9,9 @@ from wearcast import schema as S
 from wearcast.plans import training
 from wearcast.sources.tables import fixture_telemetry
 
-SMALL_RF = dict(numTrees=20, maxDepth=6, minInstancesPerNode=5)
-SMALL_GBT = dict(maxIter=10, maxDepth=4)
-
-
-def maintenance_report(spark: SparkSession, sf_dir: str, rf_params: dict | None = None,
-                       with_gbt: bool = False) -> DataFrame:
-    """impute -> features -> select -> split -> fit -> score the hold-out -> prediction table, riskiest first."""
+def maintenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """impute -> features -> select -> split -> fit both models with the reference settings -> choose -> score the
+    hold-out -> prediction table, riskiest first."""
     telemetry = fixture_telemetry(spark, sf_dir).drop("p", "prediction")
-    res = training.train(telemetry, rf_params=rf_params or SMALL_RF, gbt_params=SMALL_GBT,
-                         importance_trees=20, importance_params=dict(maxDepth=6), with_gbt=with_gbt)
+    res = training.train(telemetry)
     return res.results.orderBy(F.col("Failure_Probability").desc(), F.col(S.ROW_ID))

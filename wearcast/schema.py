@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 KEY = "machine_id"
 TIME = "timestamp"
 ROW_ID = "reading_id"
@@ -52,22 +50,16 @@ NORMAL_RANGES = {
 # Live scoring: history kept per machine, and points kept for a browser chart.
 LIVE_HISTORY = 100
 BROWSER_HISTORY = 30
-# Health index: +0.05 per reading once the failure latch is set, else -0.01, kept in [0, 1].
+# Health index: +0.05 per reading once the failure latch is set, kept in [0, 1].
 HEALTH_STEP_UP = 0.05
-HEALTH_STEP_DOWN = 0.01
 # Model settings.
 SEED = 42
 TEST_FRACTION = 0.2
 RF_PARAMS = dict(numTrees=200, maxDepth=15, minInstancesPerNode=5)
 IMPORTANCE_RF_TREES = 100
+IMPORTANCE_DEPTH = 15
 GBT_PARAMS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 HISTOGRAM_BINS = 30
 # Required columns for a telemetry file.
 REQUIRED_COLUMNS = ["timestamp", "machine_id", "vibration", "temperature", "pressure", "failure"]
 # ---------------------------------------------------------------------------
-
-TELEMETRY_SCHEMA = T.StructType(
-    [T.StructField(TIME, T.TimestampNTZType(), False), T.StructField(KEY, T.StringType(), False)]
-    + [T.StructField(c, T.DoubleType(), True) for c in SENSORS]
-    + [T.StructField(LABEL, T.IntegerType(), False)]
-)

@@ -17,13 +17,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .csv(path))
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_sorted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """An ``orderBy`` result written as range-ordered part files (part order = row order)."""
     write_csv(df, path, mode)

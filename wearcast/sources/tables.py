@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wearcast import schema as S
 
@@ -13,33 +14,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _number(c: str) -> Column:
+    """A sensor cell: empty and ``NaN`` are NULL, anything else must be a number."""
+    text = F.trim(F.col(c))
+    empty = text.isNull() | (text == "") | (F.lower(text) == "nan")
+    value = text.try_cast("double")
+    bad = F.raise_error(F.concat(F.lit(f"column {c}: not a number: "), text)).cast("double")
+    return F.when(empty, F.lit(None).cast("double")).when(value.isNull(), bad).otherwise(value).alias(c)
+
+
 def read_telemetry_csv(spark: SparkSession, path: str, row_id: str = S.ROW_ID) -> DataFrame:
     """S1 + S2: header CSV with the telemetry schema; no inference pass over the data.
 
-    Every cell is read as text (no inference pass over the data); the timestamp
-    is parsed with ``to_timestamp_ntz``, empty cells and ``NaN`` become NULL. A
-    ``reading_id`` column is kept when the file has one, else it is derived
-    from the file split and the position in it.
+    Every file's header must name the columns in the order of the first one's: a file that differs fails instead of
+    being read by position. Every cell is read as text; the timestamp is parsed with ``to_timestamp_ntz``. A
+    ``reading_id`` column is kept when the file has one. Else it is a hash of machine, time and the reading's number
+    among those of the same machine and time, ordered by their cells: the same rows get the same ids however the files
+    are split or named.
     """
     header = spark.read.option("header", True).csv(path).columns  # reads the first line only
-    has_id = row_id in header
+    missing = [c for c in [S.TIME, S.KEY, *S.SENSORS, S.LABEL] if c not in header]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(text_schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    cols = ([F.col(row_id).cast("long").alias(row_id)] if has_id else []) + \
-        [F.to_timestamp_ntz(F.col(S.TIME)).alias(S.TIME), F.col(S.KEY)]
-    for c in S.SENSORS:
-        v = F.col(c).try_cast("double")
-        cols.append(F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v).alias(c))
-    cols.append(F.col(S.LABEL).cast("int").alias(S.LABEL))
-    out = raw.select(*cols)
-    if row_id not in out.columns:
-        # Stable per file split: (file, position) packed into one BIGINT.
-        out = out.withColumn(row_id, F.monotonically_increasing_id())
-    return out
-
-
-def read_telemetry_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    raw = spark.read.schema(text_schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    own = [F.col(row_id).cast("long").alias(row_id)] if row_id in header else []
+    out = raw.select(*own, F.to_timestamp_ntz(F.col(S.TIME)).alias(S.TIME), F.col(S.KEY), *[_number(c) for c in S.SENSORS],
+                     F.col(S.LABEL).cast("int").alias(S.LABEL))
+    if own:
+        return out
+    twin = F.row_number().over(Window.partitionBy(S.KEY, S.TIME).orderBy(*S.SENSORS, S.LABEL))
+    return out.withColumn(row_id, F.xxhash64(F.col(S.KEY), F.col(S.TIME).cast("string"), twin)).select(row_id, *out.columns)
 
 
 def _k(props: Column) -> Column:
