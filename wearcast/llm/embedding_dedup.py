@@ -101,31 +101,47 @@ def _search(cosine: float):
         x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(-1, dims))
         edges, turned = block_edges(dims), x @ rotation(dims)
         budget = (2 - 2 * cosine) * np.diff(edges) / dims + _SLACK
-        own = turned[:, edges[block]:edges[block + 1]].astype(np.float32)
-        square = (own * own).sum(1)
+        own = turned[:, edges[block]:edges[block + 1]]
+        half, one = (own * own).sum(1, keepdims=True) / 2, np.ones((len(own), 1))
+        # one product a pair: left @ right = -(squared distance) / 2
+        left, right = (np.hstack(z).astype(np.float32) for z in ((own, -half, one), (own, one, -half)))
         links, forest, out = np.zeros(len(c), np.int64), Forest(len(c)), []
-        home = np.flatnonzero(lives)
-        for s in range(0, len(home), 1000):
-            p = home[s:s + 1000]
-            for e in range(0, len(c), 4000):
-                q = np.arange(e, min(e + 4000, len(c)))
-                near = square[p][:, None] + square[q] - 2 * (own[p] @ own[q].T) <= budget[block]
-                near &= ~lives[q] | (q > p[:, None])  # two that live here meet once
-                a, b = np.nonzero(near)
-                a, b = p[a], q[b]
-                ok = (i[a] == j[a]) | (chunk[a] != chunk[b])
-                ok &= c[a] != c[b]
-                a, b = a[ok], b[ok]
-                for t in range(0, len(a), 100_000):
-                    u, v = a[t:t + 100_000], b[t:t + 100_000]
-                    real = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-                    u, v = u[real], v[real]
-                    apart = np.add.reduceat((turned[u] - turned[v]) ** 2, edges[:-1], axis=1) if len(u) else np.zeros((0, len(budget)))
-                    first = (apart[:, :block] > budget[:block]).all(1)
-                    u, v = u[first], v[first]
-                    np.add.at(links, u, weight[v])
-                    np.add.at(links, v, weight[u])
-                    out += [(int(c[m]), int(c[n])) for m, n in zip(u.tolist(), v.tolist()) if forest.join(m, n)]
+
+        def verify(u, v):
+            keep = c[u] != c[v]
+            u, v = u[keep], v[keep]
+            real = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+            u, v = u[real], v[real]
+            if not len(u):
+                return
+            apart = np.add.reduceat((turned[u] - turned[v]) ** 2, edges[:-1], axis=1)
+            first = (apart[:, :block] > budget[:block]).all(1)
+            u, v = u[first], v[first]
+            np.add.at(links, u, weight[v])
+            np.add.at(links, v, weight[u])
+            out.extend((int(c[m]), int(c[n])) for m, n in zip(u.tolist(), v.tolist()) if forest.join(m, n))
+
+        def meet(p, q):
+            """Pairs of one of p and one of q; of two equal lists each pair once."""
+            for s in range(0, len(p), 512):
+                for e in range(s if p is q else 0, len(q), 1024):
+                    near = left[p[s:s + 512]] @ right[q[e:e + 1024]].T >= -budget[block] / 2
+                    a, b = np.divmod(np.flatnonzero(near), near.shape[1])
+                    a, b = a + s, b + e
+                    if p is q:
+                        a, b = a[a < b], b[a < b]
+                    for t in range(0, len(a), 50_000):
+                        verify(p[a[t:t + 50_000]], q[b[t:t + 50_000]])
+
+        if i[0] == j[0]:
+            homes = np.flatnonzero(lives)
+            meet(homes, homes)
+            meet(homes, np.flatnonzero(~lives))
+        else:  # two chunks of a cell: only pairs across
+            at = [(np.flatnonzero(lives & (chunk == k)), np.flatnonzero(~lives & (chunk == k))) for k in (i[0], j[0])]
+            meet(at[0][0], at[1][0])
+            meet(at[0][0], at[1][1])
+            meet(at[1][0], at[0][1])
         some = np.flatnonzero(links)
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(c[some].tolist() + list(a), pa.int64()), "b": pa.array([None] * len(some) + list(b), pa.int64()),
