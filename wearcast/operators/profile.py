@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wearcast import schema as S
 from wearcast.functions.columns import safe_div
@@ -67,16 +68,15 @@ def summary_stats(df: DataFrame, cols: Sequence[str] = S.SENSORS, probs=(0.25, 0
     return df.sparkSession.createDataFrame(rows, f"feature string, count long, mean double, std double, min double, {names}, max double")
 
 
-def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
-    """Counts per non-NULL value, descending (ties by value)."""
-    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name)) \
-             .orderBy(F.col(name).desc(), F.col(col))
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A7 + A8: ``(attribute, value, n, pct)`` of the non-NULL values of each column, most frequent first (ties by value).
 
-
-def share_of_total(counts: DataFrame, count_col: str = "n", name: str = "pct") -> DataFrame:
-    """Count / total x 100 (total over the small counts table; one window over its few rows)."""
-    total = counts.agg(F.sum(count_col).alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).withColumn(name, safe_div(F.col(count_col) * 100.0, "_t")).drop("_t")
+    One pass over the rows and one aggregation for all columns; the shares come from a window over the few counts.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in cols])).alias("e")
+    n = df.select(cells).select("e.*").where(F.col("value").isNotNull()).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+    pct = safe_div(F.col("n") * 100.0, F.sum("n").over(Window.partitionBy("attribute")))
+    return n.withColumn("pct", pct).orderBy("attribute", F.col("n").desc(), "value")
 
 
 def _pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -196,17 +196,10 @@ def results_df(spark, sf_dir):
     "UNION ALL SELECT 'Risk_Level', Risk_Level, count(*) FROM results WHERE Risk_Level IS NOT NULL GROUP BY 2) "
     "SELECT attribute, value, n, " + R6("n * 100.0 / sum(n) OVER (PARTITION BY attribute)") + " AS pct FROM vc"))
 def q_value_counts(spark, sf_dir):
-    res = results_df(spark, sf_dir)
-    t = raw(spark, sf_dir)
-    parts = []
-    for name, df, c in [("failure", t, S.LABEL), ("Predicted_Status", res, "Predicted_Status"), ("Risk_Level", res, "Risk_Level")]:
-        vc = PR.share_of_total(PR.value_counts(df, c))
-        parts.append(vc.select(F.lit(name).alias("attribute"), F.col(c).cast("string").alias("value"), "n",
-                               r6("pct").alias("pct")))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    """A7 + A8 for three attributes in one pass."""
+    res = results_df(spark, sf_dir).withColumn("failure", F.when(F.col("Actual_Status") == "Failure", "1").otherwise("0"))
+    out = PR.value_counts(res, ["failure", "Predicted_Status", "Risk_Level"])
+    return out.select("attribute", "value", "n", r6("pct").alias("pct"))
 
 
 _CORR_COLS = SENS + [S.LABEL]
