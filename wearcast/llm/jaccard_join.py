@@ -18,6 +18,14 @@ counters, 4 MB as broadcast) can tell; the order is the same for all whatever
 the sketch says, so no link depends on it. A tree of more than ``TREE_POINTS``
 points is cut into chunks and built for each pair of chunks.
 
+A group of thousands of near copies has millions of links but one component, so
+the search for all links is preceded by a round that finds many cheaply: sets
+that share one of two smallest hashes, a chunk of at most ``VERIFY_SETS`` at a
+time, with the same tree and the same verification. What it links is one
+component before the search begins, and the search only returns pairs that lie
+in different components. The round decides nothing else: the search is complete
+by itself.
+
 Defined cases: null text and text without words give the empty set, linked with
 nothing, a component of its own; fewer words than a shingle are one shingle;
 repeated rows and null ids are kept and answered row by row (a component
@@ -42,13 +50,15 @@ from wearcast.llm.words import Tokens, mix, rolling
 from wearcast.session import pin
 
 WIDTH, PERCENT = 3, 90
-GROUPS = 64
+GROUPS = 128
 SKETCH_SLOTS = 1 << 22
 SKETCH_PARTS = 16
 TREE_POINTS = 2000
 TREE_ROWS = 50_000  # rows of trees in one task's table
-VERIFY_SETS = 500
+VERIFY_SETS = 1000
 _LEAF = 12
+_FULL = 0xFFFF
+_TURN = np.uint64(0x7F4A7C159E3779B9)
 
 
 # ---------------------------------------------------------------- sets
@@ -67,6 +77,18 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def point_of(own: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by group; a count that does not fit 16 bits is left at the top, where it rules nothing out."""
+    return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), _FULL).astype(np.uint16)
+
+
+def wide(points: np.ndarray) -> np.ndarray:
+    """Points ready for sums; a full count stands for any number."""
+    out = points.reshape(-1, GROUPS).astype(np.int64)
+    out[out == _FULL] = 1 << 40
+    return out
+
+
 def need(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any set that makes a link with a set of n."""
     return (percent * n + 99) // 100
@@ -171,27 +193,87 @@ def _features(packs: DataFrame, level: np.ndarray, width: int, percent: int, kin
         for i, own in enumerate(shingle_sets(rows.column("text").combine_chunks(), width)):
             if len(own):
                 cls = mix(np.array([mix(own.copy()).sum(dtype=np.uint64) ^ np.uint64(len(own))]))
-                point = np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-                out.append((i, len(own), int(cls.view(np.int64)[0]), int(own[:1].view(np.int64)[0]), point.tobytes(), prefix(own, sent.value, percent).view(np.int64)))
+                least = mix(own ^ _TURN).min()
+                out.append((i, len(own), int(cls.view(np.int64)[0]), own[:1].view(np.int64)[0], least.view(np.int64), point_of(own).tobytes(), prefix(own, sent.value, percent).view(np.int64)))
             else:
-                out.append((i, 0, None, None, None, None))
-        at, n, cls, first, point, keys = zip(*out)
+                out.append((i, 0, None, None, None, None, None))
+        at, n, cls, first, second, point, keys = zip(*out)
         yield pa.record_batch([pa.array([name] * len(at)), pa.array(at, pa.int32()), rows.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                               pa.array(first, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                              ["pack", "at", "doc_id", "n", "cls", "first", "point", "keys"])
+                               pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                              ["pack", "at", "doc_id", "n", "cls", "first", "second", "point", "keys"])
 
-    return P.per_pack(packs, run, f"pack string, at int, doc_id {kind}, n long, cls long, first long, point binary, keys array<long>")
+    return P.per_pack(packs, run, f"pack string, at int, doc_id {kind}, n long, cls long, first long, second long, point binary, keys array<long>")
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes that the trees cannot rule out, once each."""
+def _cells(classes: DataFrame, percent: int) -> DataFrame:
+    """cls, key, home, cell: classes at the prefix shingles they share with others, in their size class and the next."""
     keyed = classes.select("cls", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key")
     width = math.log(100 / percent) * 1.0001  # a linked pair's sizes are at most one class apart
-    cell = F.floor(F.log("n") / width).cast("int")
-    cells = keyed.join(shared, "key").select("cls", "key", cell.alias("home")) \
+    return keyed.join(shared, "key").select("cls", "key", F.floor(F.log("n") / width).cast("int").alias("home")) \
         .select("cls", "key", "home", F.explode(F.array("home", F.col("home") + 1)).alias("cell"))
-    cells = pin(cells)
+
+
+def _tables(df: DataFrame, rows: int, size: int) -> int:
+    """How many tables to deal groups to: of bounded size, and enough for all tasks."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / size))
+
+
+def _sets(packs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(g, cls, set) of the wanted (g, cls, pack, at), read again from the packs."""
+    def pick(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        at, of = np.unique(answers.column("at").to_numpy(), return_inverse=True)
+        sets = [s.tobytes() for s in shingle_sets(rows.column("text").take(pa.array(at)).combine_chunks(), width)]
+        return pa.table({"g": answers.column("g"), "cls": answers.column("cls"), "set": pa.array([sets[i] for i in of.tolist()], pa.binary())})
+
+    return P.with_answers(packs, wanted, pick, "g long, cls long, set binary")
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(s) + len(t) - len(np.union1d(s, t))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _first_links(packs: DataFrame, classes: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): spanning edges of what sets of one size class with a common smallest hash link, chunk by chunk."""
+    some = cells.select("cls", "home").distinct()  # who shares no prefix shingle has no link
+    rows = classes.select("cls", "pack", "at", "first", "second").join(some, "cls") \
+        .select("cls", "pack", "at", "home", F.posexplode(F.array("first", "second")).alias("turn", "low"))
+    sizes = rows.groupBy("turn", "low", "home").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = rows.join(sizes, ["turn", "low", "home"]).select(
+        "cls", "pack", "at", F.xxhash64("turn", "low", "home", F.pmod(F.xxhash64("cls", "turn"), F.ceil(F.col("k") / VERIFY_SETS))).alias("g"))
+    rows = pin(rows)
+    tables = _tables(packs, rows.count(), 2000)
+
+    def link(rows: pa.Table) -> pa.Table:
+        g, cls = rows.column("g").to_numpy(), rows.column("cls").to_numpy()
+        order = np.lexsort((cls, g))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(g[order])) + 1, [len(g)]])
+        found, data = [], rows.column("set")
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            own = order[i:j]
+            if len(own) < 2:
+                continue
+            sets = [np.frombuffer(data[k].as_py(), np.uint64) for k in own.tolist()]
+            x, y = _near(np.array([len(s) for s in sets]), wide(np.stack([point_of(s) for s in sets])), percent)
+            forest = Forest(len(own))
+            for p, q in zip(x.tolist(), y.tolist()):
+                if forest.root(p) != forest.root(q) and _linked(sets[p], sets[q], percent):
+                    forest.join(p, q)
+                    found.append((int(cls[own[p]]), int(cls[own[q]])))
+        return _edges(found)
+
+    load = _sets(packs, rows, width).withColumn("table", F.pmod(F.xxhash64("g"), F.lit(tables)))
+    return pin(load.groupBy("table").applyInArrow(link, "a long, b long"))
+
+
+def _candidates(classes: DataFrame, cells: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes in different components that the trees cannot rule out, once each."""
     sizes = cells.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("points"), F.max(F.col("home") == F.col("cell")).alias("lived_in")) \
         .filter("points > 1 and lived_in")
     chunks = F.ceil(F.col("points") / TREE_POINTS).cast("int")
@@ -199,14 +281,17 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))) \
         .select("cls", "key", "cell", (F.col("home") == F.col("cell")).alias("lives"), "chunk",
                 F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"))
-    n = cells.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    tables = max(int(n), math.ceil((cells.count() or 1) / TREE_ROWS))
-    rows = cells.join(classes.select("cls", "n", "point"), "cls") \
-        .withColumn("table", F.pmod(F.xxhash64("key", "cell", "c", "d"), F.lit(tables)))
+    points = classes.select("cls", "n", "point").join(member, "cls", "left").withColumn("member", F.coalesce("component", "cls")).drop("component")
+    # a tree whose points are all in one component has nothing to find
+    cells = cells.join(points.select("cls", "member"), "cls")
+    open_trees = cells.groupBy("key", "cell", "c", "d").agg(F.min("member").alias("x"), F.max("member").alias("y")).filter("x < y").drop("x", "y")
+    cells = pin(cells.join(open_trees, ["key", "cell", "c", "d"]))
+    tables = _tables(cells, cells.count(), TREE_ROWS)
+    rows = cells.join(points.select("cls", "n", "point"), "cls").withColumn("table", F.pmod(F.xxhash64("key", "cell", "c", "d"), F.lit(tables)))
 
     def search(rows: pa.Table) -> pa.Table:
-        col = {c: rows.column(c).to_numpy() for c in ("cls", "key", "cell", "lives", "chunk", "c", "d", "n")}
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        col = {c: rows.column(c).to_numpy() for c in ("cls", "key", "cell", "lives", "chunk", "c", "d", "n", "member")}
+        points = wide(np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16))
         order = np.lexsort((col["cls"], col["d"], col["c"], col["cell"], col["key"]))
         same = np.ones(len(order), bool)
         for c in ("key", "cell", "c", "d"):
@@ -218,68 +303,50 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
             own = order[i:j]
             x, y = _near(col["n"][own], points[own], percent)
             x, y = own[x], own[y]
-            ok = (col["lives"][x] | col["lives"][y]) & ((col["c"][x] == col["d"][x]) | (col["chunk"][x] != col["chunk"][y]))
+            ok = (col["lives"][x] | col["lives"][y]) & ((col["c"][x] == col["d"][x]) | (col["chunk"][x] != col["chunk"][y])) & (col["member"][x] != col["member"][y])
             a, b = col["cls"][x[ok]], col["cls"][y[ok]]
             found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(sorted(found))
 
-    return rows.groupBy("table").applyInArrow(search, "a long, b long").distinct()
+    return pin(rows.groupBy("table").applyInArrow(search, "a long, b long").distinct())
 
 
 def _verified(packs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, as spanning edges of what each verification group links.
+    """(a, b): the pairs that are links, as spanning edges of what each verification group links.
 
-    A pair is verified where the smallest shingles of its two sets meet, so that near copies meet in few groups and a set
+    A pair is verified where the smallest hashes of its two sets meet, so that near copies meet in few groups and a set
     is sent once a group; large groups are cut into chunks.
     """
     own = classes.select("cls", "first")
     pairs = pairs.join(own.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(own.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
     pairs = pairs.select("a", "b", F.xxhash64(F.least("fa", "fb"), F.greatest("fa", "fb")).alias("g"))
     many = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.ceil(F.sqrt("n") / VERIFY_SETS)  # n pairs join at least sqrt(n) sets
+    chunks = F.ceil(F.sqrt("n") / 32)  # at most some 1,000 pairs a group
     pairs = pairs.join(many, "g").withColumn("x", F.pmod(F.xxhash64("a"), chunks)).withColumn("y", F.pmod(F.xxhash64("b"), chunks)) \
         .select("a", "b", F.xxhash64("g", F.least("x", "y"), F.greatest("x", "y")).alias("g"))
     pairs = pin(pairs)
     ends = pairs.select("g", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = ends.select("cls").distinct().join(classes.select("cls", "pack", "at"), "cls")
-
-    def pick(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        at, cls = (answers.column(c).to_numpy() for c in ("at", "cls"))
-        sets = shingle_sets(rows.column("text").take(pa.array(at)).combine_chunks(), width)
-        return pa.table({"cls": pa.array(cls), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    sets = P.with_answers(packs, wanted, pick, "cls long, set binary")
-    load = ends.join(sets, "cls").select("g", "cls", "set", F.lit(None).cast("long").alias("b")) \
+    sets = _sets(packs, ends.join(classes.select("cls", "pack", "at"), "cls"), width)
+    load = sets.withColumn("b", F.lit(None).cast("long")) \
         .union(pairs.select("g", F.col("a").alias("cls"), F.lit(None).cast("binary").alias("set"), "b"))
-    tables = max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((ends.count() or 1) / 5000))
+    tables = _tables(packs, 2 * pairs.count(), 5000)
 
     def verify(rows: pa.Table) -> pa.Table:
         g, cls, other = rows.column("g").to_numpy(), rows.column("cls").to_numpy(), rows.column("b")
         is_pair = other.is_valid().to_numpy()
         other = other.fill_null(0).to_numpy()
-        sets = rows.column("set")
-        where = {(x, c): i for i, (x, c) in enumerate(zip(g.tolist(), cls.tolist())) if not is_pair[i]}
-        forest, out, cache = Forest(len(where)), [], {}
-        number = {k: n for n, k in enumerate(where)}
-
-        def get(k):
-            if k not in cache:
-                cache[k] = np.frombuffer(sets[where[k]].as_py(), np.uint64)
-            return cache[k]
-
+        data = rows.column("set")
+        sets = {(x, c): np.frombuffer(data[i].as_py(), np.uint64) for i, (x, c) in enumerate(zip(g.tolist(), cls.tolist())) if not is_pair[i]}
+        number = {k: n for n, k in enumerate(sets)}
+        forest, found = Forest(len(sets)), []
         todo = np.flatnonzero(is_pair)
         for i in todo[np.lexsort((other[todo], cls[todo], g[todo]))].tolist():
             x, y = (int(g[i]), int(cls[i])), (int(g[i]), int(other[i]))
-            if forest.root(number[x]) == forest.root(number[y]):
-                continue  # linked already through others: the component is the same
-            s, t = get(x), get(y)
-            both = len(s) + len(t) - len(np.union1d(s, t))
-            if 100 * both >= percent * (len(s) + len(t) - both):
+            # linked already through others: the component is the same
+            if forest.root(number[x]) != forest.root(number[y]) and _linked(sets[x], sets[y], percent):
                 forest.join(number[x], number[y])
-                out.append((x[1], y[1]))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                found.append((x[1], y[1]))
+        return _edges(found)
 
     return load.withColumn("table", F.pmod(F.xxhash64("g"), F.lit(tables))).groupBy("table").applyInArrow(verify, "a long, b long")
 
@@ -293,11 +360,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def _components(packed: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
     """pack, at, doc_id, n_shingles, component (null for empty sets), component_id."""
-    features = pin(_features(packed, _sketch(packed, width, SKETCH_SLOTS), width, percent, kind))
-    classes = features.filter("n > 0").select("cls", "n", "first", "point", "keys", "pack", "at").dropDuplicates(["cls"])
-    links = _verified(packed, classes, _candidates(classes, percent), width, percent)
+    features = _features(packed, _sketch(packed, width, SKETCH_SLOTS), width, percent, kind)
+    nodes = pin(features.select("pack", "at", "doc_id", F.col("n").alias("n_shingles"), "cls"))
+    P.release(packed.sparkSession)
+    classes = pin(features.filter("n > 0").select("cls", "n", "first", "second", "point", "keys", "pack", "at").dropDuplicates(["cls"]))
+    P.release(packed.sparkSession)
+    cells = pin(_cells(classes, percent))
+    P.release(packed.sparkSession)
+    first = _first_links(packed, classes, cells, width, percent)
+    member = pin(components(first).withColumnRenamed("node", "cls"))
+    P.release(packed.sparkSession)
+    links = pin(_verified(packed, classes, _candidates(classes, cells, member, percent), width, percent).union(first))
     member = components(links).withColumnRenamed("node", "cls")
-    nodes = features.select("pack", "at", "doc_id", F.col("n").alias("n_shingles"), "cls")
     linked = nodes.filter("cls is not null").join(member, "cls", "left") \
         .select("pack", "at", "doc_id", "n_shingles", F.coalesce("component", "cls").alias("component"))
     lowest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -310,8 +384,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
     The rows return with all their columns, unchanged.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    packed = P.pack(rows)
+    packed = P.pack(P.split_text(docs))
     found = _components(packed, width, percent, docs.schema["doc_id"].dataType.simpleString())
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pack", "at")
     first = found.filter("component is not null").groupBy("component").agg(F.min(place).alias("p")).select("p.pack", "p.at")
@@ -319,8 +392,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
     def take(rows: pa.Table, answers: pa.Table) -> pa.Table:
         at = np.sort(answers.column("at").to_numpy())
-        own = rows.column("row").combine_chunks().take(pa.array(at))
-        return pa.Table.from_arrays(own.flatten(), docs_columns)
+        return rows.select(["row", "text"]).take(pa.array(at))
 
-    docs_columns = docs.columns
-    return P.with_answers(packed, kept, take, docs.schema)
+    shape = P.split_text(docs).select("row", "text").schema
+    return P.join_text(P.with_answers(packed, kept, take, shape), docs)

@@ -10,13 +10,14 @@ answers travel back in the order of the keys, as bits or bytes.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearcast.llm.words import slices
@@ -40,6 +41,12 @@ def read_rows(data: bytes) -> pa.Table:
         return stream.read_all().combine_chunks()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are checkpointed: it does so once the driver forgets them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pack(rows: DataFrame, column: str = "text", limit: int = PACK_BYTES) -> DataFrame:
     """One row a pack of about ``limit`` bytes of ``column``; a row is never cut. Written to the checkpoint folder,
     so that all later steps see the same packs even if an executor is lost."""
@@ -66,6 +73,18 @@ def pack(rows: DataFrame, column: str = "text", limit: int = PACK_BYTES) -> Data
     return pin(rows.mapInArrow(run, PACK))
 
 
+def split_text(docs: DataFrame) -> DataFrame:
+    """row (all columns but the text), doc_id and text, so that a pack holds each text once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+
+
+def join_text(rows: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` again from (row, text); ``new`` replaces columns by name."""
+    own = {"text": F.col("text")} | new
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def bucket_count(packs: DataFrame, size: int = BUCKET_BYTES) -> int:
     return max(1, math.ceil((packs.agg(F.sum("n_bytes")).first()[0] or 0) / size))
 
