@@ -8,11 +8,12 @@ count, so an R-tree over the points, walked against itself from the root down,
 discards pairs of boxes, then of points, that cannot reach the overlap the
 threshold asks for. Survivors are verified on the sets.
 
-Which points share a tree: a linked pair agrees on at least 90 % of either set,
-so, with every set in one global order, the two share a shingle among their
-first tenth (prefix). Trees are built per shared prefix shingle and size class;
-sizes of linked sets differ by a tenth at most, so a point is at home in one
-size class and visits the next. The global order puts shingles that few
+Which points share a tree: a linked pair agrees on at least ``percent`` % of
+either set, so, with every set in one global order, the two share a shingle
+among the first of theirs (prefix: what ``percent`` leaves, and one). Trees are
+built per shared prefix shingle and size class; sizes of linked sets differ by
+what ``percent`` leaves at most, so a point is at home in one size class and
+visits the next. The global order puts shingles that few
 documents hold first, as far as a sketch of fixed size (``SKETCH_SLOTS``
 counters, 4 MB as broadcast) can tell; the order is the same for all whatever
 the sketch says, so no link depends on it. A tree of more than ``TREE_POINTS``
@@ -49,7 +50,7 @@ from wearcast.llm.components import Forest, components
 from wearcast.llm.words import Tokens, mix, rolling
 from wearcast.session import pin
 
-WIDTH, PERCENT = 3, 90
+WIDTH, PERCENT = 5, 80
 GROUPS = 128
 SKETCH_SLOTS = 1 << 22
 SKETCH_PARTS = 16
