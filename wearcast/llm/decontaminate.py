@@ -13,8 +13,10 @@ the items into several tables then; hits of item tables simply add up).
 
 Defined cases: null or empty text has no words and no hits; an item without
 words gives no phrase; rows that repeat an item_id act as one item (a phrase
-belongs to the id); rows with a null item_id are left out; repeated documents
-are answered one by one; empty tables give empty results; extra columns are
+belongs to the id); rows with a null item_id are left out, or, with ``unnamed``
+(as in the registered query and in ``remove_contaminated``), hit like any other
+and together count as one item that the digest of ids does not name; repeated
+documents are answered one by one; empty tables give empty results; extra columns are
 ignored.
 """
 
@@ -40,9 +42,9 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
 
 
-def phrases(items: list[tuple[str, str | None]], window: int) -> dict[bytes, set[str]]:
+def phrases(items: list[tuple[str | None, str | None]], window: int) -> dict[bytes, set[str | None]]:
     """Phrase (words joined and framed by single spaces) -> ids of the items that hold it."""
-    out: dict[bytes, set[str]] = {}
+    out: dict[bytes, set[str | None]] = {}
     for item_id, text in items:
         words = normal_words(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
@@ -76,13 +78,14 @@ def find_hits(machine, text: str | None) -> tuple[int, list[tuple[int, int, set[
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
-         item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+         item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, unnamed: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, hits (word and original character offsets, item ids).
 
     A hit's ``start_char``/``end_char`` are code-point offsets into the text as given.
     """
-    own = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
-    size = own.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
+    own = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    own = own if unnamed else own.filter("i is not null")
+    size = own.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
     if size > max_item_bytes:
         raise ValueError(f"items hold {size} bytes, more than max_item_bytes={max_item_bytes}; scan them in several tables")
     listed = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in own.collect()])
@@ -101,7 +104,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc
                 if hits:
                     at = [m.span() for m in _WORD.finditer(t.translate(_UPPER))]
                     out = [{"start_word": a, "end_word": z, "start_char": at[a][0], "end_char": at[z - 1][1],
-                            "item_ids": sorted(ids)} for a, z, ids in hits]
+                            "item_ids": sorted(ids, key=lambda i: (i is None, i or ""))} for a, z, ids in hits]
                 words.append(n)
                 hit.append(covered)
                 spans.append(out)
@@ -133,4 +136,4 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
     """
     own = [c for c in docs.columns]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_id"), F.col("text"))
-    return scan(packed, items, window).filter("n_hit = 0").select("doc_id.*")
+    return scan(packed, items, window, unnamed=True).filter("n_hit = 0").select("doc_id.*")

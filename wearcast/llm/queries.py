@@ -55,7 +55,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""")
 def q_decontamination(spark, sf_dir):
     """Every document against every benchmark window of 10 words."""
-    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, unnamed=True))
 
 
 def _vocabulary() -> tuple[str, str]:
