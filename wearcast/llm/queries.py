@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcast.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, pii, substring_dedup, toxicity
+from wearcast.llm import (byte_bpe, chat_format, decontaminate, embedding_dedup, filter_audit, jaccard_join, line_dedup, lm_scoring, pii, secret_scan,
+                          substring_dedup, toxicity, vector_codes)
 from wearcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,71 @@ def turns_as_calls(chats: DataFrame) -> DataFrame:
 def q_chat_formatting(spark, sf_dir):
     """Every turn as a linked, ordered and validated event."""
     return chat_format.format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
+@register("op11_secret_scan")
+def q_secret_scan(spark, sf_dir):
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(secret_scan.find(docs, secret_scan.fit(docs)))
+
+
+_ORDERS = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+
+
+@register("op12_filter_audit", rf"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM t),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic, len(list_filter(fails, lambda x: x)) AS n_fails FROM f GROUP BY part, fails),
+o AS (SELECT a || b || c || d || e AS filter_order FROM {_ORDERS} u(a), {_ORDERS} v(b), {_ORDERS} w(c), {_ORDERS} x(d), {_ORDERS} y(e)
+      WHERE a NOT IN (b, c, d, e) AND b NOT IN (c, d, e) AND c NOT IN (d, e) AND d <> e),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, instr('ABCDE', substr(filter_order, CAST(step AS INTEGER), 1)) AS own FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, own, n, good, toxic, n_fails, fails[own] AS failing,
+        len(list_filter(range(1, step), lambda p: fails[instr('ABCDE', substr(filter_order, CAST(p AS INTEGER), 1))])) > 0 AS gone
+      FROM c, s),
+a AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN failing AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM a""")
+def q_filter_audit(spark, sf_dir):
+    """Every step of every order of the five filters, by language."""
+    return filter_audit.audit(filter_audit.contingency(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def _codes_sql() -> str:
+    """Unrolled rounds: assignment by squared distances (whole numbers, exact in doubles), floored means, unused entries kept."""
+    steps = ["""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS MATERIALIZED (SELECT r, vec_id, label, part, v[CAST(part * (len(v) // 4) + 1 AS BIGINT):CAST((part + 1) * (len(v) // 4) AS BIGINT)] AS x FROM k, range(4) q(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 256)"""]
+    for i in range(5):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p.part, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': entry}}) AS best
+  FROM p JOIN c{i} USING (part) GROUP BY r, p.part)""")
+        if i < 4:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+  SELECT part, entry, list(v ORDER BY pos) AS c FROM (SELECT part, entry, pos, floor(sum(v) / count(*)) AS v FROM (
+    SELECT p.part, best.e AS entry, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM p JOIN a{i} a ON p.r = a.r AND p.part = a.part) GROUP BY part, entry, pos) GROUP BY part, entry) m
+  ON o.part = m.part AND o.entry = m.entry)""")
+    return "WITH " + ",\n".join(steps) + """,
+z AS (SELECT r, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS s FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.s AS codebooks_sha256 FROM k JOIN z USING (r), h"""
+
+
+@register("op13_vector_codes", _codes_sql())
+def q_vector_codes(spark, sf_dir):
+    """Every vector's code in four parts of 256 entries."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
