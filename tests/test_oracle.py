@@ -15,7 +15,7 @@ def _registry():
 
 
 QUERIES, ORACLES = _registry()
-FITS = {"feature_importance", "model_scores", "model_choice", "model_roundtrip", "stream_scores"}
+FITS = {"feature_importance", "model_scores", "model_choice", "model_roundtrip", "artifacts_roundtrip", "stream_scores"}
 # queries of the optional subpackage have tests of their own
 OWN = [n for n in sorted(ORACLES) if n != "pipeline" and not n.startswith("op")]
 MID = [n for n in OWN if n not in FITS and not n.startswith("stream_")] + ["stream_serving_features"]

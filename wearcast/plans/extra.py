@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearcast import schema as S
+from wearcast.operators import boosting as BO
+from wearcast.operators import evaluate as EV
 from wearcast.operators import features as FE
+from wearcast.operators import forest as FO
 from wearcast.operators import model as MD
 from wearcast.operators import sampling as SA
 from wearcast.operators import scoring as SC
@@ -148,7 +151,7 @@ _IN_UNIT = "p BETWEEN 0 AND 1"
 
 @register("feature_importance", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', true, true)" for f in S.ALL_FEATURES) + ") t(feature, in_range, sums_to_one)")
 def q_feature_importance(spark, sf_dir):
-    """M3: forest importances of the 17 features over all rows; each lies in [0, 1] and they add up to 1."""
+    """M3: forest importances of the 17 features over all rows, trees grown out; each lies in [0, 1] and they add up to 1."""
     imp = _fit_pair(spark, sf_dir).importance.select("feature", "importance")
     total = imp.agg(F.sum("importance").alias("total"))
     return imp.crossJoin(F.broadcast(total)).select(  # one row
@@ -201,6 +204,50 @@ def q_model_roundtrip(spark, sf_dir):
     return loaded.join(saved, S.ROW_ID).select(S.ROW_ID, (F.abs(F.col("p") - F.col("saved")) < 1e-9).alias("equal"))
 
 
+@register("artifacts_roundtrip", with_fixture(_SPLIT_SQL + "SELECT reading_id, true AS forest_equal, true AS boosting_equal, true AS scaler_equal FROM split WHERE split = 'test'"))
+def q_artifacts_roundtrip(spark, sf_dir):
+    """Both models and the scaler, each saved and loaded, say the same of every hold-out reading: equal scores of
+    either model, equal standardised values."""
+    res = _fit_pair(spark, sf_dir)
+    path = scratch(spark, "artifacts")
+    training.save_artifacts(res, path)
+    back = training.load_artifacts(spark, path)
+    test = _engineered(spark, sf_dir).select(S.ROW_ID, *res.selected).join(
+        SA.stratified_split(raw(spark, sf_dir)).where("split = 'test'").select(S.ROW_ID), S.ROW_ID)
+    for name, now, then in (("rf", res.rf.model, back.rf), ("gbt", res.gbt.model, back.gbt)):
+        test = MD.score(now, test, test.columns).drop("prediction").withColumnRenamed("p", name)
+        test = MD.score(then, test, test.columns).drop("prediction").withColumnRenamed("p", f"{name}_back")
+    scaled = EV.scale_columns(test.select("*", *[F.col(c).alias(f"raw_{c}") for c in back.selected]), back.selected, back.scaler)
+    same = F.lit(True)
+    for c in res.selected:
+        mean, scale = res.rf.model.scaler[c]
+        same = same & (F.abs(F.col(c) - (F.col(f"raw_{c}") - mean) / scale) < 1e-9)
+    return scaled.select(S.ROW_ID, (F.col("rf") == F.col("rf_back")).alias("forest_equal"), (F.col("gbt") == F.col("gbt_back")).alias("boosting_equal"), same.alias("scaler_equal"))
+
+
+#: A rule over sensors with few different values, which any sound fit of trees finds exactly.
+_RULE = "(temperature > 82 AND pressure > 5) OR voltage < 213"
+_RULE_INPUTS = ["temperature", "pressure", "voltage", "rotation_speed"]
+_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in _RULE_INPUTS)
+
+
+@register("planted_models", with_fixture(f"SELECT reading_id, CASE WHEN {_RULE} THEN 1 ELSE 0 END AS forest, CASE WHEN {_RULE} THEN 1 ELSE 0 END AS boosting FROM telemetry WHERE {_KNOWN}"))
+def q_planted_models(spark, sf_dir):
+    """M4 + M5 + M7: forest and boosting, fitted on a label that a rule plants, predict every reading as the rule says."""
+    data = raw(spark, sf_dir).where(_KNOWN).select(S.ROW_ID, *_RULE_INPUTS, F.expr(_RULE).cast("int").alias("planted"))
+    forest = FO.fit(data, _RULE_INPUTS, "planted", trees=60)
+    boosting = BO.fit(data, _RULE_INPUTS, "planted", weight=None, rounds=40)
+    both = MD.score(forest, data, data.columns).drop("p").withColumnRenamed("prediction", "forest")
+    return MD.score(boosting, both, [S.ROW_ID, "forest"]).select(S.ROW_ID, "forest", F.col("prediction").alias("boosting"))
+
+
+@register("planted_importance", "SELECT * FROM (VALUES ('temperature', true), ('pressure', true), ('voltage', true), ('rotation_speed', false)) t(feature, matters)")
+def q_planted_importance(spark, sf_dir):
+    """M3: the importances of a forest grown out on that label tell the rule's sensors from the other one."""
+    data = raw(spark, sf_dir).where(_KNOWN).select(S.ROW_ID, *_RULE_INPUTS, F.expr(_RULE).cast("int").alias("planted"))
+    return FO.importance(data, _RULE_INPUTS, "planted", trees=40).select("feature", (F.col("importance") > 0.05).alias("matters"))
+
+
 def _engineered(spark, sf_dir):
     return training.engineered_table(raw(spark, sf_dir))
 

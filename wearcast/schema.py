@@ -59,6 +59,9 @@ RF_PARAMS = dict(numTrees=200, maxDepth=15, minInstancesPerNode=5)
 IMPORTANCE_RF_TREES = 100
 IMPORTANCE_DEPTH = 15
 GBT_PARAMS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
+# The same settings by their meaning, for the library's own tree models (min_split: rows a node needs to be split).
+FOREST = dict(trees=200, depth=15, min_split=10, min_leaf=5)
+BOOSTING = dict(rounds=200, depth=6, rate=0.1, row_share=0.8, column_share=0.8)
 HISTOGRAM_BINS = 30
 # Required columns for a telemetry file.
 REQUIRED_COLUMNS = ["timestamp", "machine_id", "vibration", "temperature", "pressure", "failure"]

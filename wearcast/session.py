@@ -109,5 +109,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, wherever that is."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
