@@ -56,8 +56,8 @@ def required_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_COLUMNS
 def summary_stats(df: DataFrame, cols: Sequence[str] = S.SENSORS, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """A5: describe(): count, mean, sample std, min, exact 25/50/75 % (linear), max; one row per column.
 
-    One aggregation gives the moments and the first step of the quantiles; the
-    bounded rounds of ``exact_quantiles`` follow. One row a column reaches the driver.
+    Two passes over the rows: the moments with the sketches of the quantiles, then
+    the exact selection of ``exact_quantiles``. One row a column reaches the driver.
     """
     cols = list(cols)
     m = df.agg(*quantile_stats(cols), *[x for i, c in enumerate(cols) for x in (

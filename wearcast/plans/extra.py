@@ -316,6 +316,75 @@ def q_stream_history(spark, sf_dir):
     return out.join(latest, [S.KEY, "batch_id"]).select(S.ROW_ID, S.KEY, "recency")
 
 
+@register("stream_history_state", ORACLES["last_n"])
+def q_stream_history_state(spark, sf_dir):
+    """The last 30 readings per machine read from the checkpoint's state after three restarts; the stream itself hands
+    on one row a machine and batch."""
+    ship_package(spark)
+    fields = [S.ROW_ID, S.KEY, S.TIME, "vibration", "temperature", "pressure", "prediction"]
+    src, parts = stage_stream_input(spark, sf_dir)
+    ckpt = scratch(spark, "history-ckpt")
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        readings = live.reading_stream(spark, src, part.schema)
+        live.kept_history_stream(readings, fields, S.BROWSER_HISTORY).writeStream.format("noop").option("checkpointLocation", ckpt) \
+            .outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return live.kept_history(spark, ckpt).select(S.ROW_ID, S.KEY, "recency")
+
+
+DELAY_HOURS = 6
+HEARTBEAT = "HEARTBEAT"
+
+
+def run_ordered(spark, parts: list[DataFrame], name: str) -> DataFrame:
+    """The event-time stream over ``parts``, a restart between them, then a heartbeat: one reading of no machine, later
+    than all others, that moves the watermark past them."""
+    ship_package(spark)
+    src, sink, ckpt = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
+    schema = parts[0].schema
+    end = F.max(F.col(S.TIME)) + F.expr(f"INTERVAL {DELAY_HOURS + 1} HOURS")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    beat = whole.agg(end.alias(S.TIME)).select(*[(F.lit(HEARTBEAT) if f.name == S.KEY else F.col(S.TIME) if f.name == S.TIME
+                                                 else F.lit(-1) if f.name in (S.ROW_ID, S.LABEL, "prediction") else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    keep = [S.ROW_ID, S.KEY, S.TIME] + SENS + [S.LABEL, "prediction"]
+    for part in [*parts, beat]:
+        part.write.mode("append").parquet(src)
+        released = live.ordered_serving_stream(live.reading_stream(spark, src, schema), keep, f"{DELAY_HOURS} hours")
+        live.write_log(released, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink).where(F.col(S.KEY) != HEARTBEAT)
+
+
+@register("stream_ordered_features", ORACLES["serving_features"])
+def q_stream_ordered_features(spark, sf_dir):
+    """T2 in event-time order: readings arrive up to six hours after their time, shuffled over the micro-batches; what
+    leaves equals the batch serving features."""
+    t = fixture_telemetry(spark, sf_dir).select(*STREAM_COLS)
+    arrival = F.unix_micros(F.col(S.TIME).cast("timestamp")) + F.pmod(F.xxhash64(S.ROW_ID), F.lit(DELAY_HOURS * 3_600_000_000))
+    rng = t.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
+    cuts = [rng["lo"] + (rng["hi"] + 1 - rng["lo"]) * i // 3 for i in range(4)]
+    out = run_ordered(spark, [t.where((arrival >= a) & (arrival < b)) for a, b in zip(cuts, cuts[1:])], "ordered")
+    return live.on_time(out).select(S.ROW_ID, S.KEY, *[r6(c).alias(c) for c in S.ROLLING_FEATURES + S.STAT_FEATURES])
+
+
+@register("stream_late_readings", with_fixture(
+    "m AS (SELECT epoch_us(min(\"timestamp\")) AS lo, epoch_us(max(\"timestamp\")) AS hi FROM telemetry),\n"
+    f"c AS (SELECT lo + (hi - lo) * 2 // 3 AS cut FROM m),\n"
+    f"w AS (SELECT ((max(epoch_us(\"timestamp\")) - {DELAY_HOURS * 3_600_000_000}) // 1000) * 1000 AS mark FROM telemetry, c WHERE reading_id % 97 <> 0 AND epoch_us(\"timestamp\") < cut)\n"
+    "SELECT reading_id, machine_id, reading_id % 97 = 0 AND epoch_us(\"timestamp\") <= mark AS late FROM telemetry, w"))
+def q_stream_late_readings(spark, sf_dir):
+    """Readings held back until the last micro-batch; those that the watermark has passed by then are late and go to
+    the side table, all others leave in order."""
+    t = fixture_telemetry(spark, sf_dir).select(*STREAM_COLS)
+    us = F.unix_micros(F.col(S.TIME).cast("timestamp"))
+    rng = t.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    first = (F.col(S.ROW_ID) % 97 != 0) & (us < rng["lo"] + (rng["hi"] - rng["lo"]) * 2 // 3)
+    out = run_ordered(spark, [t.where(first), t.where(~first)], "late")
+    late = live.late_readings(out, [S.ROW_ID, S.KEY]).withColumn("late", F.lit(True))
+    return live.on_time(out).select(S.ROW_ID, S.KEY, F.lit(False).alias("late")).unionByName(late)
+
+
 @register("stream_alert_counts", with_fixture(
     "SELECT machine_id, count(*) AS readings, count(*) FILTER (WHERE prediction = 1) AS alerts FROM telemetry GROUP BY machine_id"))
 def q_stream_alert_counts(spark, sf_dir):
