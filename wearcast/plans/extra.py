@@ -28,9 +28,10 @@ from wearcast.plans import catalog as CAT
 from wearcast.plans import training
 from wearcast.plans.catalog import ORACLES, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
 from wearcast.session import checkpoint_dir, ship_package
+from wearcast.sources import inferred
 from wearcast.sources.sinks import write_csv, write_sorted_csv
 from wearcast.sources.tables import fixture_telemetry, read_telemetry_csv
-from wearcast.streaming import live
+from wearcast.streaming import live, runlog
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,6 +60,51 @@ def q_csv_without_ids(spark, sf_dir):
     return back.select(S.KEY, S.TIME, *SENS, S.LABEL, F.col(S.ROW_ID).isNotNull().alias("has_id"))
 
 
+_BROKEN = "reading_id % 3 = 1 AND reading_id % 211 = 1"
+
+
+def _mixed_files(spark, sf_dir) -> str:
+    """The telemetry in three folders of CSV: as it is; with more columns, in another order and with broken cells; with an
+    empty table."""
+    path, t = scratch(spark, "mixed"), raw(spark, sf_dir)
+    write_csv(t.where("reading_id % 3 <> 1"), f"{path}/a")
+    torque = F.when(F.expr(_BROKEN), F.lit("broken")).otherwise(F.col("torque").cast("string"))
+    more = t.where("reading_id % 3 = 1").withColumns({"torque": torque, "site": F.expr("reading_id % 7"), "load": F.expr("reading_id % 8 / 4"),
+                                                      "checked": F.expr("reading_id % 2 = 0"), "note": F.concat(F.lit("r, "), F.col(S.ROW_ID))})
+    write_csv(more.select("site", S.LABEL, "note", *reversed(SENS), S.KEY, "load", S.TIME, "checked", S.ROW_ID), f"{path}/b")
+    write_csv(t.where("false").coalesce(1), f"{path}/c")
+    return path
+
+
+@register("csv_inferred", with_fixture(
+    "SELECT reading_id, machine_id, \"timestamp\", " + ", ".join(_q(c) for c in SENS) + ", failure, CASE WHEN reading_id % 3 = 1 THEN reading_id % 7 END AS site, "
+    "CASE WHEN reading_id % 3 = 1 THEN reading_id % 8 / 4.0 END AS load, CASE WHEN reading_id % 3 = 1 THEN reading_id % 2 = 0 END AS checked, "
+    f"CASE WHEN reading_id % 3 = 1 THEN 'r, ' || reading_id END AS note FROM telemetry WHERE NOT ({_BROKEN})"))
+def q_csv_inferred(spark, sf_dir):
+    """Files with other columns and orders, types inferred; the rows without faults."""
+    rows = inferred.accepted(inferred.read_csv(spark, _mixed_files(spark, sf_dir)))
+    return rows.select(S.ROW_ID, S.KEY, S.TIME, *SENS, S.LABEL, "site", "load", "checked", "note")
+
+
+@register("csv_quarantine", with_fixture(
+    "SELECT reading_id, machine_id, 'b' AS folder, 'torque: not double' AS reason, 'broken' AS rescued, CAST(NULL AS DOUBLE) AS torque, "
+    f"{CAT.R6('power_consumption')} AS power_consumption FROM telemetry WHERE {_BROKEN}"))
+def q_csv_quarantine(spark, sf_dir):
+    """The rows with a broken cell, with file, reason, the cell's text and all that could be read."""
+    rows = inferred.quarantined(inferred.read_csv(spark, _mixed_files(spark, sf_dir)))
+    return rows.select(S.ROW_ID, S.KEY, F.element_at(F.split("_file", "/"), -2).alias("folder"), F.col("_reason").alias("reason"),
+                       F.get_json_object("_rescued", "$.torque").alias("rescued"), "torque", r6("power_consumption").alias("power_consumption"))
+
+
+@register("csv_types", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{kind}')" for c, kind in [(S.ROW_ID, "bigint"), *inferred.DECLARED.items(), ("site", "bigint"), ("load", "double"), ("checked", "boolean"), ("note", "string")])
+    + ") t(name, kind)")
+def q_csv_types(spark, sf_dir):
+    """The inferred type of every column."""
+    found = inferred.infer(spark, _mixed_files(spark, sf_dir))
+    return spark.createDataFrame(sorted(found.types.items()), "name string, kind string")
+
+
 @register("high_risk_file", ORACLES["high_risk"])
 def q_high_risk_file(spark, sf_dir):
     """The sorted high-risk list written to CSV and read back."""
@@ -394,6 +440,26 @@ def q_stream_alert_counts(spark, sf_dir):
     return out.join(latest, [S.KEY, "batch_id"]).select(S.KEY, "readings", "alerts")
 
 
+@register("stream_run_log", with_fixture(
+    "m AS (SELECT epoch_us(min(\"timestamp\")) AS lo, epoch_us(max(\"timestamp\")) + 1 AS hi FROM telemetry),\n"
+    "s AS (SELECT reading_id, machine_id, CASE WHEN epoch_us(\"timestamp\") < lo + (hi - lo) * 1 // 3 THEN 'run-0' WHEN epoch_us(\"timestamp\") < lo + (hi - lo) * 2 // 3 THEN 'run-1' "
+    "ELSE 'run-3' END AS run FROM telemetry, m)\n"
+    "SELECT reading_id, machine_id, run, count(*) OVER (PARTITION BY run) AS entered FROM s"))
+def q_stream_run_log(spark, sf_dir):
+    """Three runs with readings and one without (run-2), logged through the ledger; every reading with the number of
+    rows that the ledger has for its run."""
+    ship_package(spark)
+    src, parts = stage_stream_input(spark, sf_dir)
+    path, ckpt = scratch(spark, "runs"), scratch(spark, "runs-ckpt")
+    for run, part in enumerate([parts[0], parts[1], None, parts[2]]):
+        if part is not None:
+            part.write.mode("append").parquet(src)
+        readings = live.reading_stream(spark, src, parts[0].schema)
+        runlog.write_run(readings.select(S.ROW_ID, S.KEY, S.TIME), path, ckpt, f"run-{run}").awaitTermination()
+    entered = runlog.ledger(spark, path).groupBy(F.col("run").alias("of")).agg(F.sum("rows").alias("entered"))
+    return runlog.read_log(spark, path).join(entered, F.col("run") == F.col("of")).select(S.ROW_ID, S.KEY, "run", "entered")
+
+
 @register("stream_scores", with_fixture("SELECT reading_id, machine_id, true AS p_in_range, true AS equals_batch_score, true AS run_is_tagged, "
                                         "true AS alert_follows FROM telemetry"))
 def q_stream_scores(spark, sf_dir):
