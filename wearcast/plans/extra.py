@@ -24,6 +24,7 @@ from wearcast.operators import model as MD
 from wearcast.operators import sampling as SA
 from wearcast.operators import scoring as SC
 from wearcast.operators import selection as SEL
+from wearcast.operators import stored
 from wearcast.plans import catalog as CAT
 from wearcast.plans import training
 from wearcast.plans.catalog import ORACLES, RAW_COLS, SENS, raw, register, r6, with_fixture, _q
@@ -154,6 +155,15 @@ def _feature_list_sql():
 ORACLES["feature_list"] = _feature_list_sql()
 
 
+@register("serving_from_store", ORACLES["serving_features"])
+def q_serving_from_store(spark, sf_dir):
+    """O1: readings written once in stored order; the serving features come from that table without an exchange of them."""
+    name = f"readings_{uuid.uuid4().hex[:12]}"
+    stored.write(raw(spark, sf_dir), name, scratch(spark, "stored"))
+    out = FE.serving_features(stored.read(spark, name))
+    return out.select(S.ROW_ID, S.KEY, *[r6(c).alias(c) for c in S.ROLLING_FEATURES + S.STAT_FEATURES])
+
+
 # ---------------------------------------------------------------- sampling
 _HASH_SQL = f"CAST('0x' || substr(md5(CAST(reading_id AS VARCHAR) || ':{S.SEED}'), 1, 15) AS BIGINT)"
 _SPLIT_SQL = (f"h AS (SELECT reading_id, failure, machine_id, {_HASH_SQL} AS h FROM telemetry),\n"
