@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from wearcast.streaming import live, runlog
 
@@ -75,3 +76,17 @@ def test_an_empty_run_leaves_no_file(spark, place, tmp_path):
     assert runlog.export_run(spark, path, "some", str(tmp_path / "some"), ["id"])
     back = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "some")).collect()
     assert sorted((r["id"], r["part"], r["run"]) for r in back) == [(i, i % 3, "some") for i in range(3)]
+
+
+def test_batches_are_limited_by_bytes(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for i in range(6):
+        numbers(spark, src, 1000 * i, 1000 * (i + 1))
+    size = max(os.path.getsize(os.path.join(src, f)) for f in os.listdir(src) if f.endswith(".parquet"))
+    schema = spark.read.parquet(src).schema
+    for limit, most in ((size * 2, 2), (1, 1)):  # a file that is larger than the limit comes alone
+        seen = []
+        stream = live.reading_stream(spark, src, schema, bytes_per_trigger=limit)
+        query = stream.writeStream.foreachBatch(lambda df, b, _s=seen: _s.append(df.select(F.input_file_name()).distinct().count())).option("checkpointLocation", str(tmp_path / f"ckpt-{limit}"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert sum(seen) == 6 and max(seen) <= most and len(seen) >= 6 // most

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,30 +81,50 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return n.withColumn("pct", pct).orderBy("attribute", F.col("n").desc(), "value")
 
 
+_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def _pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r per (a, b) over pairwise-complete rows; NULL where a side is constant (no ANSI failure).
+    """Pearson r per (a, b) over pairwise-complete rows; NULL where a side is constant there (no ANSI failure). NaN is missing.
 
-    Each reading becomes one row per left column, with an integer key and its right columns beside it, so the grouped
-    aggregation has as many moment sets as a left column has partners and one row per left column to shuffle.
+    A batch of readings becomes the moments of all pairs by a few matrix products; a task sends one row a pair, and the
+    sums of those are all that is shuffled. Values are taken from a point among the data, so that nothing cancels out.
     """
-    left = list(dict.fromkeys(a for a, _ in pairs))
-    partners = {a: [b for x, b in pairs if x == a] for a in left}
-    wide = max(len(p) for p in partners.values())
-    null = F.lit(None).cast("double")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(a).cast("double").alias("x"),
-                                         *[(F.col(partners[a][j]).cast("double") if j < len(partners[a]) else null).alias(f"y{j}") for j in range(wide)])
-                                for i, a in enumerate(left)])).alias("e")
-    long = df.select(cells).select("e.*")
-    moments = []
-    for j in range(wide):
-        x, y = F.when(F.col(f"y{j}").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col(f"y{j}"))
-        moments += [F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{j}"), F.stddev_pop(x).alias(f"s{j}")]
-    st = long.groupBy("k").agg(*moments)
-    out = [F.struct(F.lit(i).alias("k"), F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for i, a in enumerate(left) for b in partners[a]]
-    every = F.array(*[F.struct(F.col(f"c{j}").alias("corr"), F.when(F.col(f"s{j}") > 0, F.lit(1.0)).alias("_self")) for j in range(wide)])
-    listed = F.filter(F.array(*out), lambda o: o["k"] == F.col("k"))
-    both = st.select("k", F.explode(F.arrays_zip(listed.alias("o"), every.alias("m"))).alias("z")).where(F.col("z.o").isNotNull())
-    return both.select("z.o.feature_a", "z.o.feature_b", "z.m.corr", "z.m._self")
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    wide = len(cols)
+    values = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    sample = values.limit(1000).agg(*[F.coalesce(F.avg(F.when(~F.isnan(f"x{i}"), F.col(f"x{i}"))), F.lit(0.0)) for i in range(wide)]).first()
+    point = np.array([v if np.isfinite(v) else 0.0 for v in sample])
+
+    def run(batches):
+        total = np.zeros((len(_MOMENTS), wide, wide))
+        low, high = np.full((wide, wide), np.inf), np.full((wide, wide), -np.inf)
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(wide)], axis=1)
+            known = ~np.isnan(x)
+            m, z = known.astype(float), np.where(known, x - point, 0.0)
+            sx, sxx = z.T @ m, (z * z).T @ m
+            total += np.stack([m.T @ m, sx, sx.T, sxx, sxx.T, z.T @ z])
+            for j in range(wide):  # the range of each column where column j is known
+                own = np.where(known & known[:, j:j + 1], x, np.nan)
+                low[:, j], high[:, j] = np.fmin(low[:, j], np.fmin.reduce(own, axis=0, initial=np.inf)), np.fmax(high[:, j], np.fmax.reduce(own, axis=0, initial=-np.inf))
+        i, j = (v.ravel() for v in np.indices((wide, wide)))
+        yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t.ravel()) for t in total), pa.array(low.ravel()), pa.array(high.ravel())],
+                              ["i", "j", *_MOMENTS, "low", "high"])
+
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in (*_MOMENTS, "low", "high"))
+    sums = values.mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS], F.min("low").alias("low"), F.max("high").alias("high"))
+    # the range of the right column lies in the mirrored row
+    other = sums.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("high") > F.col("low")).alias("varies_too"))
+    both = sums.join(other, ["i", "j"])
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    spread = F.sqrt((F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))) * (F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))))
+    varies = F.col("high") > F.col("low")
+    names = F.array(*[F.lit(c) for c in cols])
+    wanted = F.array(*[F.struct(F.lit(cols.index(a)).alias("i"), F.lit(cols.index(b)).alias("j")) for a, b in pairs])
+    return both.where(F.array_contains(wanted, F.struct("i", "j"))).select(
+        names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
+        F.when(varies & F.col("varies_too"), F.try_divide(cov, spread)).alias("corr"), F.when(varies, F.lit(1.0)).alias("_self"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = S.SENSORS + [S.LABEL]) -> DataFrame:
