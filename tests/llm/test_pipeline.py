@@ -9,7 +9,7 @@ import corpus_pipeline as C
 from tests.conftest import SF_SMALL
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_jaccard_join import brute as groups
-from tests.llm.test_line_dedup import brute as lines
+from tests.llm.test_line_recall import all_pairs as lines
 from wearcast.llm import byte_bpe
 
 
@@ -41,14 +41,23 @@ def test_toxicity_keeps_rows_whole(inputs):
 
 
 def test_line_dedup(inputs):
+    """Against all pairs of lines by edit similarity alone: nothing else goes, and nearly all of it goes (the search for
+    pairs is not complete, see the README)."""
     docs = sorted(texts(inputs[1]).items())
-    assert [texts(inputs[2])[i] for i, _ in docs] == lines(docs, 3, 0.8)
+    got, want = texts(inputs[2]), dict(zip((i for i, _ in docs), lines(docs, 0.8)))
+
+    def left(t):
+        return [] if t is None else t.split("\n")
+
+    more = sum(len(left(got[i])) - len(left(want[i])) for i, _ in docs)
+    removed = sum(len(left(t)) - len(left(want[i])) for i, t in docs)
+    assert all(set(left(want[i])) <= set(left(got[i])) for i, _ in docs) and 0 <= more <= 0.02 * removed and removed > 20
     assert all(r["n_chars"] == len(r["text"]) for r in inputs[2].collect())
 
 
 def test_one_document_of_each_group(inputs):
     docs = texts(inputs[2])
-    want = groups(list(docs), list(docs.values()), 3, 90)
+    want = groups(list(docs), list(docs.values()), 5, 80)  # the stage's rule
     assert set(texts(inputs[3])) == {i for i, n, c in want if i == c or not n}
 
 

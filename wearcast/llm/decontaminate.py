@@ -29,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearcast.llm.packs import join_text, split_text
+from wearcast.llm.words import slices
+
 _KEEP = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -77,18 +80,23 @@ def find_hits(machine, text: str | None) -> tuple[int, list[tuple[int, int, set[
     return len(words), hits
 
 
+def _listed(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, max_item_bytes: int, unnamed: bool):
+    """The items as a broadcast list, if they are small enough."""
+    own = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    own = own if unnamed else own.filter("i is not null")
+    size = own.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
+    if size > max_item_bytes:
+        raise ValueError(f"items hold {size} bytes, more than max_item_bytes={max_item_bytes}; scan them in several tables")
+    return docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in own.collect()])
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
          item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, unnamed: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, hits (word and original character offsets, item ids).
 
     A hit's ``start_char``/``end_char`` are code-point offsets into the text as given.
     """
-    own = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    own = own if unnamed else own.filter("i is not null")
-    size = own.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
-    if size > max_item_bytes:
-        raise ValueError(f"items hold {size} bytes, more than max_item_bytes={max_item_bytes}; scan them in several tables")
-    listed = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in own.collect()])
+    listed = _listed(docs, items, item_id, item_text, max_item_bytes, unnamed)
     types = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +142,13 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
 
     The verdict is computed beside each row, not joined back on doc_id, so repeated or null ids are judged one by one.
     """
-    own = [c for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_id"), F.col("text"))
-    return scan(packed, items, window, unnamed=True).filter("n_hit = 0").select("doc_id.*")
+    listed = _listed(docs, items, "item_id", "text", MAX_ITEM_BYTES, True)
+    rows = split_text(docs).select("row", "text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(phrases(listed.value, window))
+        for b in batches:
+            for part in slices(b, "text"):
+                yield part.filter(pa.array([not find_hits(machine, t)[1] for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return join_text(rows.mapInArrow(clean, rows.schema), docs)

@@ -39,8 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearcast.llm.packs import join_text, split_text
 from wearcast.llm.words import PUNCTUATION, Tokens, slices
 
+SLICE_BYTES = 2 << 20  # of text at a time: its strings take some 50 bytes a byte
 SAMPLE_ROWS = 4000
 MAX_MODEL_BYTES = 256 << 20
 ORDER = 5  # bytes in a string, the predicted one included; at most 8
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, order: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE_BYTES):
                 yield count_rows(part.column(0), part.column(1).to_numpy(zero_copy_only=False), order)
 
     counted = chosen.filter("not fits_curve").select("text", "toxic").mapInArrow(count, "gram long, class byte, n long")
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, order: int
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE_BYTES):
                 x = sent.value.differences(part.column(0))
                 yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column(1)], ["mean", "excess", "toxic"])
 
@@ -234,13 +236,22 @@ def score(docs: DataFrame, model: Model | float, carry: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE_BYTES):
                 yield pa.record_batch([part.column(0), pa.array(sent.value.probabilities(part.column(1)))], [carry, "score"])
 
     return own.mapInArrow(run, f"{carry} {own.schema[carry].dataType.simpleString()}, score double")
 
 
 def remove_toxic(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> DataFrame:
-    """The rows whose score stays below the threshold, with all their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return score(packed, model, "row").filter(F.col("score") < threshold).select("row.*")
+    """The rows whose score stays below the threshold, with all their columns; a text travels once, beside its row."""
+    if isinstance(model, float):
+        return docs if model < threshold else docs.limit(0)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = split_text(docs).select("row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text", SLICE_BYTES):
+                yield part.filter(pa.array(sent.value.probabilities(part.column("text")) < threshold))
+
+    return join_text(rows.mapInArrow(run, rows.schema), docs)
