@@ -47,12 +47,23 @@ def get_session(master: str | None = None, app_name: str = "wearcast",
     return spark
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of ``most`` bytes at most (a larger row comes alone) where the session leaves Spark's 64 MB: rows of
+    long texts are few a batch then, on either side of a Python worker."""
+    if str(spark.conf.get(ARROW_BYTES)).rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_BYTES, str(most))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``wearcast`` importable in every Python worker (streaming state, foreachBatch).
 
     The package is zipped once per SparkContext and added with ``addPyFile``,
     which distributes it from the driver; nothing has to be installed on executors.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_wearcast_shipped", False):  # kept on the context itself: a new context starts anew
         return
