@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from wearcast.llm.packs import join_text, split_text
 from wearcast.llm.words import PUNCTUATION, Tokens, slices
 
-SLICE_BYTES = 2 << 20  # of text at a time: its strings take some 50 bytes a byte
+SLICE_BYTES = 512 << 10  # of text at a time: its strings take some hundred bytes a byte
 SAMPLE_ROWS = 4000
 MAX_MODEL_BYTES = 256 << 20
 ORDER = 5  # bytes in a string, the predicted one included; at most 8
