@@ -76,3 +76,13 @@ def test_edge_rows(spark):
         B.Codec(B.read_ranks(PATH), P.PATTERN).decode_column(pa.array([[50256]], pa.list_(pa.int32())))
     none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert B.digests(B.decode(none, PATH, P.PATTERN)).first()["n_tokens"] == 0
+
+
+def test_round_trip_equals_both_steps(spark):
+    import corpus_pipeline as C
+    from wearcast.llm import byte_bpe
+    docs = spark.createDataFrame([(1, "Hello, wörld! " * 3000), (2, None), (None, ""), (1, "a\u0000b")], "doc_id long, text string")
+    once = byte_bpe.round_trip(docs, C.RANKS, C.PATTERN)
+    twice = byte_bpe.decode(byte_bpe.encode(docs, C.RANKS, C.PATTERN), C.RANKS, C.PATTERN)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect())) and once.columns == twice.columns
+    assert byte_bpe.round_trip(docs.limit(0), C.RANKS, C.PATTERN).count() == 0

@@ -228,6 +228,24 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_i
     return own.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the texts, so that one Python worker a task does both; the bytes are
+    concatenated up the tree."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        codec = _codec(ranks.value, pattern)
+        for b in batches:
+            for part in _batches(500, b):
+                found = [codec.encode(t) for t in part.column(1).to_pylist()]
+                bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
+                yield pa.record_batch([part.column(0), ids, pa.array([codec.decode(f.tolist()) for f in found], pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``decode(encode(...))``."""
     joined = F.array_join(F.coalesce("ids", F.expr("array()")).cast("array<string>"), " ")
