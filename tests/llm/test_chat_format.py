@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from wearcast.llm import chat_format as C
 
 SCHEMAS = {"add": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}, "tag": {"enum": ["a", "b"]}, "after": {"type": "array", "items": {"type": "string"}}},
@@ -17,9 +19,9 @@ def result(cid, content="ok"):
     return json.dumps({"tool_call_id": cid, "content": content})
 
 
-def brute(rows):
-    """rows: (conv, turn, role, text) -> {(conv, turn, json): (status, rank, depth)} by repeated relaxation."""
-    ev = [(c, e) for c, t, r, x in rows for e in C.events_of(t, r, x, SCHEMAS)]
+def brute(rows, schemas=SCHEMAS):
+    """rows: (conv, turn, role, text) -> {(conv, turn, json): (status, rank, depth)} by peeling the calls that wait for nobody."""
+    ev = [(c, e) for c, t, r, x in rows for e in C.events_of(t, r, x, schemas)]
     out = []
     for conv in {c for c, _ in ev}:
         own = [e for c, e in ev if c == conv]
@@ -33,21 +35,16 @@ def brute(rows):
         for e in own:
             if e["kind"] == "call" and e["call_id"] is not None:
                 deps[e["call_id"]] |= {a for a in e["after"] if a in calls}
-        at, cyc = {k: (v[0], 0) for k, v in calls.items()}, set()
-        while True:
-            late = {}
-            for k in calls:
-                waits = [at[d] for d in deps[k] if d in cyc or at[k] <= at[d]]
-                if k not in cyc and waits:
-                    late[k] = (max(waits)[0], max(waits)[1] + 1, bool(deps[k] & cyc))
-            if not late:
-                break
-            for k, v in late.items():
-                if v[1] > len(calls) or v[2]:
-                    cyc.add(k)
-                    at[k] = (calls[k][0], 0)
-                else:
-                    at[k] = v[:2]
+        at, left = {}, set(calls)
+        while ready := [k for k in left if not deps[k] & left]:  # what waits for nobody left; the rest waits for a cycle
+            for k in ready:
+                last = max((at[d] for d in deps[k]), default=None)
+                at[k] = (calls[k][0], 0)
+                if last is not None and at[k] <= last:
+                    at[k] = (last[0], last[1] + 1)
+            left -= set(ready)
+        cyc = left
+        at |= {k: (calls[k][0], 0) for k in cyc}
         for e in own:
             k = e["call_id"]
             if e["kind"] == "message":
@@ -107,6 +104,29 @@ def test_order_puts_dependencies_first(spark):
     assert {r["status"] for r in out if r["conv_id"] == 2} == {"cycle"}
 
 
+def test_short_cycle_in_a_long_conversation(spark, monkeypatch):
+    n, rounds = 20_000, []
+    plain = C._looped
+    monkeypatch.setattr(C, "_looped", lambda place: rounds.append(1) or plain(place))
+    after = F.when(F.col("id") == 7, F.array(F.lit("c9"))).when(F.col("id") == 9, F.array(F.lit("c7"))).when(F.col("id") == 11, F.array(F.lit("c9"))) \
+        .when(F.col("id") > 100, F.array(F.concat(F.lit("c"), (F.col("id") - 1).cast("string")))).otherwise(F.array().cast("array<string>"))
+    calls = spark.range(n).select(F.lit(1).alias("conv_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("call_id"), F.col("id").alias("turn"), after.alias("after"))
+    out = C._positions(calls)
+    assert {r["call_id"] for r in out.filter("cycle").collect()} == {"c7", "c9", "c11"} and len(rounds) <= 2
+    assert out.filter("not cycle and (depth > 0 or concat('c', rank) <> call_id)").count() == 0 and out.count() == n
+
+
+def test_query_reaches_every_case(spark):
+    from tests.conftest import SF_MID
+    from wearcast.llm.queries import REPLY, QUERIES, turns_as_calls
+    out = QUERIES["op9_chat_formatting"](spark, SF_MID).collect()
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in turns_as_calls(spark.read.parquet(f"{SF_MID}/conversations.parquet")).collect()]
+    got = sorted(((r["conv_id"], r["turn"], r["part"], r["status"], (r["rank"], r["depth"]), tuple(r["errors"]), r["json"]) for r in out), key=str)
+    assert got == brute(rows, REPLY)
+    assert {"linked", "cycle"} <= {r["status"] for r in out} and any(r["rank"] > r["turn"] for r in out)
+    assert {"unknown tool", "$.turn: not integer"} <= {e for r in out for e in r["errors"]}
+
+
 def test_canonical_form_and_schema():
     assert C.canonical({"b": [1, None], "a": "é"}) == '{"a":"é","b":[1,null]}'
     assert C.violations({"x": 1.0, "after": ["a", 1]}, SCHEMAS["add"]) == ["$.after[1]: not string"]

@@ -14,8 +14,10 @@ an object or as JSON text) holds calls; a tool's text that is a JSON object with
   early for what it depends on, it moves behind it: position (rank, depth) is
   (own turn, 0), or that of the latest dependency with depth + 1 if that is
   later, found by rounds over the dependencies that are still violated (none if
-  the turns are in order already). Calls that wait for themselves, or for such
-  calls, are marked as a cycle and keep their turn.
+  the turns are in order already; else as many as the longest chain of calls that
+  must move, or wait for a cycle). Calls that wait for themselves, or for such
+  calls, are marked as a cycle and keep their turn; pointers to the dependency
+  that moved a call, doubled, find them.
 * Validate: arguments against the tool's schema (type, required, properties,
   additionalProperties, items, enum, minLength, minimum, maximum).
 * Serialise: keys sorted, no spaces, UTF-8 as it is, one line an event.
@@ -147,24 +149,55 @@ def parse(messages: DataFrame, schemas: dict) -> DataFrame:
     return own.mapInArrow(run, f"conv_id {own.schema['conv_id'].dataType.simpleString()}, {EVENTS}")
 
 
+def _looped(place: DataFrame) -> DataFrame:
+    """conv_id, call_id of the calls whose chain of latest dependencies never ends.
+
+    Each call points to the dependency that set its position, if one did. Pointers double: after k steps a pointer skips
+    2**k calls, so whoever still has one when that exceeds the number of moved calls waits for itself or for such a call.
+    """
+    at = pin(place.filter("by is not null").select("conv_id", "call_id", "by"))
+    n, skipped = at.count(), 1
+    while n and skipped <= n:
+        onward = at.select("conv_id", F.col("call_id").alias("by"), F.col("by").alias("next"))
+        at = pin(at.join(onward, ["conv_id", "by"]).select("conv_id", "call_id", F.col("next").alias("by")))
+        n, skipped = min(n, at.count()), 2 * skipped
+    return at.select("conv_id", "call_id")
+
+
 def _positions(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, rank, depth, cycle of each identifier's first call."""
+    """conv_id, call_id, rank, depth, cycle of each identifier's first call.
+
+    Rounds move the calls that come too early; every time the number of rounds has doubled, calls that wait for themselves
+    are looked for among the moved ones and taken out, so that a cycle costs rounds by its length, not by the calls around it.
+    """
     nodes = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
-    edges = edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"])  # what nobody calls is not waited for
-    size = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("calls"))
-    place = pin(nodes.select("conv_id", "call_id", F.col("turn").alias("own"), F.struct(F.col("turn").alias("rank"), F.lit(0).cast("long").alias("depth")).alias("at"), F.lit(False).alias("cycle")))
+    edges = pin(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))  # what nobody calls is not waited for
+    start = F.struct(F.col("turn").alias("rank"), F.lit(0).cast("long").alias("depth"))
+    place = pin(nodes.select("conv_id", "call_id", F.col("turn").alias("own"), start.alias("at"), F.lit(None).cast("string").alias("by"), F.lit(False).alias("cycle")))
+    rounds, look = 0, 2
     while True:
         dep = place.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at"), F.col("cycle").alias("dep_cycle"))
         late = edges.join(dep, ["conv_id", "dep"]).join(place, ["conv_id", "call_id"]).filter("not cycle and (dep_cycle or at <= dep_at)") \
-            .groupBy("conv_id", "call_id").agg(F.max("dep_at").alias("m"), F.max("dep_cycle").alias("stuck")).join(size, "conv_id") \
-            .select("conv_id", "call_id", F.struct(F.col("m.rank").alias("rank"), (F.col("m.depth") + 1).alias("depth")).alias("new"), (F.col("stuck") | (F.col("m.depth") + 1 > F.col("calls"))).alias("round"))
+            .groupBy("conv_id", "call_id").agg(F.max(F.struct("dep_at", "dep")).alias("m"), F.max("dep_cycle").alias("stuck")) \
+            .select("conv_id", "call_id", F.struct(F.col("m.dep_at.rank").alias("rank"), (F.col("m.dep_at.depth") + 1).alias("depth")).alias("new"), F.col("m.dep").alias("new_by"), "stuck")
         late = pin(late)
         if late.isEmpty():
             return place.select("conv_id", "call_id", "at.rank", "at.depth", "cycle")
-        place = pin(place.join(late, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", "own", F.coalesce(F.when(F.col("round"), F.struct(F.col("own").alias("rank"), F.lit(0).cast("long").alias("depth"))).otherwise(F.col("new")), "at").alias("at"),
-            F.coalesce("round", "cycle").alias("cycle")))
+        place = pin(_moved(place.join(late, ["conv_id", "call_id"], "left")))
+        rounds += 1
+        if rounds == look:
+            look *= 2
+            stuck = _looped(place).select("conv_id", "call_id", F.lit(True).alias("stuck"), F.lit(None).cast("struct<rank:bigint,depth:bigint>").alias("new"),
+                                                 F.lit(None).cast("string").alias("new_by"))
+            place = pin(_moved(place.join(stuck, ["conv_id", "call_id"], "left")))
+
+
+def _moved(place: DataFrame) -> DataFrame:
+    """Positions after a round: ``new`` where there is one; calls of a cycle go back to their turn."""
+    stuck = F.coalesce("stuck", F.lit(False))
+    at = F.when(stuck, F.struct(F.col("own").alias("rank"), F.lit(0).cast("long").alias("depth"))).otherwise(F.coalesce("new", "at"))
+    return place.select("conv_id", "call_id", "own", at.alias("at"), F.when(~stuck, F.coalesce("new_by", "by")).alias("by"), (F.col("cycle") | stuck).alias("cycle"))
 
 
 def format_chats(messages: DataFrame, schemas: dict) -> DataFrame:

@@ -164,14 +164,21 @@ REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additional
 
 
 def turns_as_calls(chats: DataFrame) -> DataFrame:
-    """The table holds no tool calls, so each question becomes one: a user's turn calls ``reply``, after the question two
-    turns before if there is one; the assistant's next turn is the result. Other turns stay plain messages."""
-    name = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    before = F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
-    two = F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 2).cast("string"))
-    args = F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn", F.when(F.col("turn") >= 2, F.array(two)).otherwise(F.array().cast("array<string>")).alias("after"))
-    call = F.to_json(F.struct(F.array(F.struct(name.alias("id"), F.lit("function").alias("type"), F.struct(F.lit("reply").alias("name"), args.alias("arguments")).alias("function"))).alias("tool_calls")))
-    result = F.to_json(F.struct(before.alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    """The table holds no tool calls, so each question becomes one: a user's turn is a call, the assistant's next turn its
+    result. The length of its text says what a call waits for (the question two turns before, the one two turns later, or
+    nothing), whether it names a tool that nobody knows and whether its turn is text in place of a number. Other turns stay
+    plain messages."""
+    def call_at(turn):
+        return F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+
+    turn, own = F.col("turn"), F.coalesce("text", F.lit(""))
+    kind = F.length(own) % 8
+    after = F.when(kind < 3, F.array(call_at(turn - 2))).when(kind < 5, F.array(call_at(turn + 2))).otherwise(F.array().cast("array<string>"))
+    tool = F.when(kind == 7, "search").otherwise("reply")
+    args = F.when(kind == 6, F.to_json(F.struct(own.alias("prompt"), turn.cast("string").alias("turn"), after.alias("after")))) \
+        .otherwise(F.to_json(F.struct(own.alias("prompt"), "turn", after.alias("after"))))
+    call = F.to_json(F.struct(F.array(F.struct(call_at(turn).alias("id"), F.lit("function").alias("type"), F.struct(tool.alias("name"), args.alias("arguments")).alias("function"))).alias("tool_calls")))
+    result = F.to_json(F.struct(call_at(turn - 1).alias("tool_call_id"), own.alias("content")))
     asks, answers = F.col("role") == "user", F.col("role") == "assistant"
     return chats.select("conv_id", "turn", F.when(asks, "assistant").when(answers, "tool").otherwise(F.col("role")).alias("role"),
                         F.when(asks, call).when(answers, result).otherwise(F.col("text")).alias("text"))
