@@ -1,10 +1,10 @@
 """Keyed state in event-time order (T2, T5), and history that is read from the state.
 
 ``OrderedServingProcessor`` lets readings wait until the watermark has passed
-them. They wait in a map state, one entry a machine and ``bucket`` of time; one
-event-time timer a machine stands at its first waiting reading. When it fires,
-all readings up to the watermark are released in the order of (time, row id)
-and move the same state as in arrival order. Whatever way readings are shuffled
+them. They wait in a map state, one entry a shard of machines and ``bucket`` of
+time; one event-time timer a shard stands at its first waiting reading. When it
+fires, all readings up to the watermark are released, each machine's in the order
+of (time, row id), and move the same state as in arrival order. Whatever way readings are shuffled
 over micro-batches, those that come before the watermark leave as the batch
 features have them. A reading that comes after it is late: it is handed on
 without features, marked ``late``, for a side table, and moves no state.
@@ -20,12 +20,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from wearcast import schema as S
-from wearcast.streaming.state import HistoryStateProcessor, ServingStateProcessor, serving_output_schema
+from wearcast.streaming.state import HistoryStateProcessor, ServingStateProcessor, serving_output_schema, table_of, to_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,12 +59,8 @@ class OrderedServingProcessor(ServingStateProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         late = pdf[pdf[AT] <= passed]
         new = pdf[pdf[AT] > passed]
-        for bucket, part in new.groupby(new[AT] // self.bucket_us):
-            name = (int(bucket),)
-            if self.waiting.containsKey(name):
-                part = pd.concat([_rows(self.waiting.getValue(name)[0]), part], ignore_index=True)
-            self.waiting.updateValue(name, (_bytes(part),))
         if len(new):
+            self._wait(new)
             self._wake(int(new[AT].min()) // 1000)
         if len(late):
             out = late[self.passthrough].reset_index(drop=True)
@@ -78,24 +75,37 @@ class OrderedServingProcessor(ServingStateProcessor):
             if bucket * self.bucket_us > passed:
                 left = min(bucket * self.bucket_us if left is None else left, bucket * self.bucket_us)
                 break
-            part = _rows(self.waiting.getValue((bucket,))[0])
-            keep = part[part[AT] > passed]
-            ready.append(part[part[AT] <= passed])
+            part = table_of(self.waiting.getValue((bucket,))[0])
+            stays = pc.greater(part[AT], passed)
+            keep = part.filter(stays)
+            ready.append(part.filter(pc.invert(stays)))
             if len(keep):
-                self.waiting.updateValue((bucket,), (_bytes(keep),))
-                left = int(keep[AT].min())
+                self.waiting.updateValue((bucket,), (to_bytes(keep),))
+                left = pc.min(keep[AT]).as_py()
                 break  # later buckets wait longer
             self.waiting.removeKey((bucket,))
         if left is not None:
             self._wake(left // 1000)
         ready = [p for p in ready if len(p)]
         if ready:
-            out = self.advance(pd.concat(ready, ignore_index=True))
+            out = self.advance(pa.concat_tables(ready, promote_options="permissive").to_pandas())
             out["late"] = False
             yield self._shaped(out)
 
+    def _wait(self, new: pd.DataFrame) -> None:
+        """Readings go to their buckets, behind those that wait there."""
+        bucket = new[AT].to_numpy() // self.bucket_us
+        order = np.argsort(bucket, kind="stable")
+        rows, (own, first) = pa.Table.from_pandas(new.iloc[order], preserve_index=False), np.unique(bucket[order], return_index=True)
+        there = {int(k[0]) for k in self.waiting.keys()}
+        for name, a, z in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)]):
+            part = rows.slice(a, z - a)
+            if name in there:
+                part = pa.concat_tables([table_of(self.waiting.getValue((name,))[0]), part], promote_options="permissive")
+            self.waiting.updateValue((name,), (to_bytes(part),))
+
     def _wake(self, at_ms: int) -> None:
-        """One timer a machine, at its first waiting reading."""
+        """One timer a shard, at its first waiting reading."""
         known = self.first.get()
         if known is None or at_ms < known[0]:
             if known is not None:
@@ -109,19 +119,6 @@ class OrderedServingProcessor(ServingStateProcessor):
         return out.reindex(columns=names).astype({"seq": "Int64"})
 
 
-def _bytes(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _rows(data: bytes) -> pd.DataFrame:
-    with pa.ipc.open_stream(bytes(data)) as stream:
-        return stream.read_pandas()
-
-
 class QuietHistoryProcessor(HistoryStateProcessor):
     """The last ``n`` readings of each machine as state alone; a batch hands on one row a machine it touched."""
 
