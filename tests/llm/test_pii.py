@@ -115,3 +115,9 @@ def test_edge_rows(spark, judge):
     assert out == [(0, 1, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)]
     assert P.find(docs.limit(0), judge).count() == 0 and P.fit(docs.limit(0)).model is None
     assert {r["text"] for r in P.redact(docs, P.Judge(None, {})).collect()} == {"", "[email]", "[email] and [ip]"}
+
+
+def test_all_candidates_are_learnt_from(spark):
+    docs = spark.range(6000).select(F.concat(F.lit("write to a"), "id", F.lit("@b.cd")).alias("text"))
+    seen = P._labelled(docs, F.col("text")).filter("kind = 0").agg(F.sum("n")).first()[0]
+    assert seen == 12_000  # each address, and once more as rewritten
