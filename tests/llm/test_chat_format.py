@@ -116,6 +116,22 @@ def test_short_cycle_in_a_long_conversation(spark, monkeypatch):
     assert out.filter("not cycle and (depth > 0 or concat('c', rank) <> call_id)").count() == 0 and out.count() == n
 
 
+def test_many_rounds_keep_estimates_small(spark, monkeypatch):
+    n, sizes, plain = 10, [], C.pin
+
+    def pin(df):
+        out = plain(df)
+        sizes.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(C, "pin", pin)
+    rows = [(1, k, f"c{k}", [f"c{k + 1}"]) for k in range(n)] + [(2, 0, "p", ["q"]), (2, 1, "q", ["p"]), (2, 2, "r", ["q"])]
+    out = C._positions(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>")).collect()
+    assert {(r["call_id"], r["rank"], r["depth"]) for r in out if r["conv_id"] == 1} == {(f"c{k}", n - 1, n - 1 - k) for k in range(n)}
+    assert {(r["call_id"], r["rank"], r["depth"]) for r in out if r["cycle"]} == {("p", 0, 0), ("q", 1, 0), ("r", 2, 0)}
+    assert len(sizes) > n and max(s.bit_length() for s in sizes) < 128  # an unknown table counts as 2**63 bytes
+
+
 def test_query_reaches_every_case(spark):
     from tests.conftest import SF_MID
     from wearcast.llm.queries import REPLY, QUERIES, turns_as_calls

@@ -149,18 +149,29 @@ def parse(messages: DataFrame, schemas: dict) -> DataFrame:
     return own.mapInArrow(run, f"conv_id {own.schema['conv_id'].dataType.simpleString()}, {EVENTS}")
 
 
+def _once(df: DataFrame, *key: str) -> DataFrame:
+    """Rows whose ``key`` is unique already, said so to Spark.
+
+    A join with them is then taken to be as large as its other side. Otherwise it is taken for the product of both, and in a
+    loop, where every frame comes from the one before, the estimate itself doubles its digits a round until it fills the driver.
+    """
+    return df.dropDuplicates(list(key))
+
+
 def _looped(place: DataFrame) -> DataFrame:
     """conv_id, call_id of the calls whose chain of latest dependencies never ends.
 
     Each call points to the dependency that set its position, if one did. Pointers double: after k steps a pointer skips
-    2**k calls, so whoever still has one when that exceeds the number of moved calls waits for itself or for such a call.
+    2**k calls, and whoever still has one has at least so many before it. A chain that ends holds calls with any smaller
+    number before them, so some of it drop out with every step; when none does, all that are left wait for themselves or
+    for such calls.
     """
     at = pin(place.filter("by is not null").select("conv_id", "call_id", "by"))
-    n, skipped = at.count(), 1
-    while n and skipped <= n:
-        onward = at.select("conv_id", F.col("call_id").alias("by"), F.col("by").alias("next"))
+    n, before = at.count(), None
+    while n and n != before:
+        onward = _once(at.select("conv_id", F.col("call_id").alias("by"), F.col("by").alias("next")), "conv_id", "by")
         at = pin(at.join(onward, ["conv_id", "by"]).select("conv_id", "call_id", F.col("next").alias("by")))
-        n, skipped = min(n, at.count()), 2 * skipped
+        n, before = at.count(), n
     return at.select("conv_id", "call_id")
 
 
@@ -177,20 +188,20 @@ def _positions(calls: DataFrame) -> DataFrame:
     place = pin(nodes.select("conv_id", "call_id", F.col("turn").alias("own"), start.alias("at"), F.lit(None).cast("string").alias("by"), F.lit(False).alias("cycle")))
     rounds, look = 0, 2
     while True:
-        dep = place.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at"), F.col("cycle").alias("dep_cycle"))
-        late = edges.join(dep, ["conv_id", "dep"]).join(place, ["conv_id", "call_id"]).filter("not cycle and (dep_cycle or at <= dep_at)") \
+        dep = _once(place.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at"), F.col("cycle").alias("dep_cycle")), "conv_id", "dep")
+        late = edges.join(dep, ["conv_id", "dep"]).join(_once(place, "conv_id", "call_id"), ["conv_id", "call_id"]).filter("not cycle and (dep_cycle or at <= dep_at)") \
             .groupBy("conv_id", "call_id").agg(F.max(F.struct("dep_at", "dep")).alias("m"), F.max("dep_cycle").alias("stuck")) \
             .select("conv_id", "call_id", F.struct(F.col("m.dep_at.rank").alias("rank"), (F.col("m.dep_at.depth") + 1).alias("depth")).alias("new"), F.col("m.dep").alias("new_by"), "stuck")
         late = pin(late)
         if late.isEmpty():
             return place.select("conv_id", "call_id", "at.rank", "at.depth", "cycle")
-        place = pin(_moved(place.join(late, ["conv_id", "call_id"], "left")))
+        place = pin(_moved(place.join(_once(late, "conv_id", "call_id"), ["conv_id", "call_id"], "left")))
         rounds += 1
         if rounds == look:
             look *= 2
             stuck = _looped(place).select("conv_id", "call_id", F.lit(True).alias("stuck"), F.lit(None).cast("struct<rank:bigint,depth:bigint>").alias("new"),
                                                  F.lit(None).cast("string").alias("new_by"))
-            place = pin(_moved(place.join(stuck, ["conv_id", "call_id"], "left")))
+            place = pin(_moved(place.join(_once(stuck, "conv_id", "call_id"), ["conv_id", "call_id"], "left")))
 
 
 def _moved(place: DataFrame) -> DataFrame:
