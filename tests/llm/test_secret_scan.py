@@ -118,6 +118,47 @@ def test_fit_does_not_depend_on_partitions_or_copies(spark):
     assert all((once.kinds[k].weight == again.kinds[k].weight).all() for k in once.kinds)
 
 
+def test_learns_from_every_value_to_its_end(spark):
+    rng = random.Random(8)
+    secrets = [hexa(rng, S.DEPTH + rng.randint(20, 60)) for _ in range(2_500)]  # more and longer than a sample would hold
+    texts = [f"token={v} {word(rng, 8)}" for v in secrets]
+    found = S.values(made(spark, texts + texts[:500]).repartition(5)).collect()
+    assert sorted(r["value"] for r in found if r["kind"] == "assign") == sorted(secrets)
+    assert len(secrets) / 5 < sum(r["held"] for r in found if r["kind"] == "assign") < len(secrets) / 3
+    grammar = S.fit(made(spark, texts))
+    assert set(grammar.kinds) == {"assign", "hex"}
+    kept = [S.symbols(r["value"]) for r in found if r["kind"] == "hex" and not r["held"]]
+    count, falls = S.walk(np.where(grammar.kinds["hex"].step[:-1] == len(grammar.kinds["hex"].step) - 1, -1, grammar.kinds["hex"].step[:-1]), kept)
+    assert not len(falls) and count.sum() == sum(len(w) + 1 for w in kept)  # every symbol of every value has its state
+    share = 0.5 / (S.SYMBOLS + 1)
+    assert np.allclose(2 ** grammar.kinds["hex"].weight[:-1], ((count + share) / (count.sum(1) + 0.5)[:, None])[:, :-1])
+
+
+def test_prefixes_and_walks_count_all(spark):
+    rng = random.Random(9)
+    words = {("hex", hexa(rng, rng.randint(1, 5))) for _ in range(400)} | {("assign", "ab" * rng.randint(1, 300)) for _ in range(60)}
+    want = {}
+    for kind, w in words:
+        x = S.symbols(w).tobytes()
+        for d in range(min(len(x), S.DEPTH - 1) + 1):
+            own = want.setdefault((kind, x[:d]), {})
+            c = x[d] if d < len(x) else S.END
+            own[c] = own.get(c, 0) + 1
+    want = {k: own for k, own in want.items() if sum(own.values()) >= 8}
+    df = spark.createDataFrame(sorted(words), "kind string, value string").repartitionByRange(7, "kind", "value").sortWithinPartitions("kind", "value")
+    got = {}
+    for r in S.prefixes(df, {"hex": 8, "assign": 8}).collect():
+        got.setdefault((r["kind"], bytes(r["prefix"])), {})[r["symbol"]] = r["n"]
+    assert got == want
+    step = np.full((2, S.SYMBOLS), 1, np.int32)
+    step[1, S.symbols("z")[0]] = -1
+    long = "a" * (S.LONG_RUN + 5)
+    count, falls = S.walk(step, [S.symbols(x) for x in ("az", "azb", "aa", "", long, long + "zq")])
+    a, z, b, q = (int(S.symbols(x)[0]) for x in "azbq")
+    assert falls.tolist() == sorted([[1, z, S.END, 1], [1, z, b, 1], [1, z, q, 1]])
+    assert (count[0, a], count[0, S.END], count[1, a], count[1, z], count[1, S.END], count.sum()) == (5, 1, 1 + 2 * (len(long) - 1), 3, 2, 5 + 1 + 1 + 2 * (len(long) - 1) + 3 + 2)
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, "token=abcdef"), (1, "token=abcdef"), (1, "token=abcdef")], "doc_id long, text string")
     grammar = S.fit(docs)

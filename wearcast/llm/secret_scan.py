@@ -3,27 +3,29 @@
 1. Base: one strict pattern a kind (assign, access, hex), leftmost and
    non-overlapping, with its check; failing matches are dropped. Base spans are
    always reported.
-2. The values of base spans are labelled credentials. From a bounded sample of
-   them (``SAMPLE_ROWS`` different ones a kind) a prefix tree is built, and its
-   states are merged while a test of Hoeffding's bound finds their endings and
-   continuations compatible (single characters and classes): what remains is a probabilistic automaton of the
-   kind's format. Ordinary runs of characters (a sample of ``ORDINARY_ROWS``,
-   ``SAMPLE_ROWS`` of them to learn from) give an automaton of their own.
+2. The values of base spans are labelled credentials, all other runs of characters
+   ordinary ones. Of each kind, all different values but a quarter held out are
+   counted into a prefix tree; prefixes held by fewer than ``LEAST_VISITS`` values,
+   or one in ``NODES``, are no states of it. Its states are merged while a test of
+   Hoeffding's bound finds their endings and continuations compatible (single
+   characters and classes). Where values leave the merged tree, they go on in the
+   state that what follows fits best, found by passes over all values until none
+   leaves it: what remains is a probabilistic automaton of the kind's format, and
+   its probabilities are counts over all of these values, to their ends.
 3. Every run of ``LEAST`` or more characters in every text is scored by its
    format likelihood, the mean over its characters of log2 P under a kind's
    automaton, and by how far that lies above the ordinary one's. Runs above both
    thresholds of a kind are added under the kind that exceeds the ordinary
    automaton most; a run inside a base span is not reported again.
-4. Thresholds come from the part of the sample that no automaton has seen:
+4. Thresholds come from all values held out, counted in steps of 1/``GRAIN``:
    ``MISSED`` of a kind's credentials may fall below each, unless more than
    ``FALSE`` of the ordinary runs would pass; then the second one rises. A kind
    with fewer than ``LEAST_LABELS`` different values adds nothing.
 
-Scale: two scans without a shuffle of texts; the first sends at most that many
-short values a kind and task, those with the smallest hashes, so that a value
-held by a third of all documents counts once. The automata are a few kilobytes,
-whatever the corpus. Values of more than ``SAMPLE_CHARS`` characters are scored
-like all others, but not learned from.
+Scale: two scans without a shuffle of texts; the first sends the values, each once
+a task as long as its memory allows, so that a value held by a third of all
+documents counts once. They stay in Spark, dealt by range; the driver gets counts a
+state and symbol. The automata are bounded by ``NODES``, whatever the corpus.
 
 Defined cases: null text is the empty text, without spans; offsets count code
 points, ends are exclusive; repeated rows and null ids are answered row by row;
@@ -33,16 +35,15 @@ are the result; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
+import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,11 @@ _ENOUGH = {"assign": 6, "access": 20, "hex": 24}
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LEAST = 12
 
-SAMPLE_ROWS = 2_000
-ORDINARY_ROWS = 20_000
-SAMPLE_CHARS = 256
+NODES = 2_000  # a state of the prefix tree is reached by one in so many values at least
+DEPTH = 256  # symbols of its longest prefixes; what follows is counted by the passes
+HELD_CHARS = 8 << 20  # of different values that a task holds back
+PART_VALUES = 20_000  # of a task that counts
+GRAIN = 1024
 LEAST_LABELS = 8
 ALPHA = 0.05  # of the compatibility test
 LEAST_VISITS = 8  # states seen less often are compatible with any other
@@ -74,7 +77,7 @@ SLACK = 0.25  # bits a character by which a format may be less likely than the h
 
 #: Characters of credentials; the automata's symbols are their places here.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-SYMBOLS = len(ALPHABET)
+SYMBOLS = END = len(ALPHABET)
 #: Classes whose shares of a state are compared beside those of single characters: capitals, small letters, digits, marks.
 _CLASS = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 6
 _SYMBOL_OF = np.zeros(128, np.int8)
@@ -137,6 +140,24 @@ class Tree:
         #: how often each transition was taken; merging adds them up
         self.taken = [{c: self.visits[t] for c, t in n.items()} for n in self.next]
 
+    @staticmethod
+    def counted(rows: list[tuple[bytes, int, int]]) -> Tree:
+        """From (prefix, symbol that follows or ``END``, count); symbols whose prefix has no rows lead to no state."""
+        tree, number, of = Tree([]), {b"": 0}, defaultdict(dict)
+        for prefix, c, n in rows:
+            of[prefix][c] = n
+        for prefix in sorted(of):
+            if prefix:
+                p, c = number[prefix[:-1]], prefix[-1]
+                number[prefix] = tree.next[p][c] = len(tree.visits)
+                tree.parent.append((p, c))
+                for x, new in ((tree.visits, 0), (tree.ends, 0), (tree.next, {}), (tree.taken, {})):
+                    x.append(new)
+            at = number[prefix]
+            tree.visits[at], tree.ends[at] = sum(of[prefix].values()), of[prefix].get(END, 0)
+            tree.taken[at] = {c: n for c, n in sorted(of[prefix].items()) if c != END}
+        return tree
+
     def alike(self, a: int, b: int, alpha: float = ALPHA, least: int = LEAST_VISITS) -> bool:
         """Whether state ``b`` (the root of a subtree) ends and goes on as ``a`` does, by Hoeffding's bound at each pair."""
         spread, todo = math.sqrt(0.5 * math.log(2 / alpha)), [(a, b)]
@@ -174,8 +195,9 @@ class Tree:
             p, q = todo.pop()
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
+            for c, n in self.taken[q].items():
+                self.taken[p][c] = self.taken[p].get(c, 0) + n
             for c, t in self.next[q].items():
-                self.taken[p][c] = self.taken[p].get(c, 0) + self.taken[q][c]
                 if c in self.next[p]:
                     todo.append((self.next[p][c], t))
                 else:
@@ -197,6 +219,54 @@ class Tree:
                 kept.append(q)
 
 
+def table(tree: Tree, alpha: float = ALPHA, least: int = LEAST_VISITS) -> tuple[np.ndarray, np.ndarray]:
+    """Next states (-1: none) and counts by symbol of the merged tree, ``END`` the last, the start first."""
+    kept = tree.merge(alpha, least)
+    number = {s: i for i, s in enumerate(kept)}
+    step, count = np.full((len(kept), SYMBOLS), -1, np.int32), np.zeros((len(kept), SYMBOLS + 1), np.int64)
+    for i, s in enumerate(kept):
+        count[i, END] = tree.ends[s]
+        for c, n in tree.taken[s].items():
+            count[i, c] = n
+        for c, t in tree.next[s].items():
+            step[i, c] = number[t]
+    return step, count
+
+
+def walk(step: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences taken through the states until they end or leave them: counts by state and symbol (``END`` included), and
+    counts by state, symbol that leads nowhere and the symbol after it."""
+    width = SYMBOLS + 1
+    count, falls = np.zeros(len(step) * width, np.int64), Counter()
+    size = np.array([len(s) for s in sequences], np.int64)
+    short = np.flatnonzero(size <= LONG_RUN)
+    order = short[np.argsort(-size[short], kind="stable")]
+    if len(order):
+        flat = np.concatenate([np.append(sequences[i], END) for i in order]).astype(np.int64)
+        at, s = np.concatenate([[0], np.cumsum(size[order] + 1)])[:-1], np.zeros(len(order), np.int64)
+        while len(at):
+            c = flat[at]
+            count += np.bincount(s * width + c, minlength=len(count))
+            at, s, c = at[c < END], s[c < END], c[c < END]
+            to = step[s, c]
+            lost = to < 0
+            falls.update(zip(s[lost].tolist(), c[lost].tolist(), flat[at[lost] + 1].tolist()))
+            at, s = at[~lost] + 1, to[~lost].astype(np.int64)
+    if len(order) < len(sequences):
+        rows = step.tolist()
+        for i in np.flatnonzero(size > LONG_RUN):
+            s, word, own = 0, [*sequences[i].tolist(), END], Counter()
+            for j, c in enumerate(word):
+                own[s * width + c] += 1
+                if c < END and rows[s][c] < 0:
+                    falls[s, c, word[j + 1]] += 1
+                    break
+                s = rows[s][c] if c < END else s
+            count[list(own)] += list(own.values())
+    left = np.array([(*k, n) for k, n in sorted(falls.items())], np.int64).reshape(-1, 4)
+    return count.reshape(-1, width), left
+
+
 @dataclass
 class Automaton:
     """States as rows: next state and log2 probability by symbol, log2 probability of ending; the last state is for the unseen."""
@@ -207,18 +277,16 @@ class Automaton:
 
     @staticmethod
     def infer(words: list[bytes], alpha: float = ALPHA, least: int = LEAST_VISITS) -> Automaton:
-        tree = Tree(sorted(words))
-        kept = tree.merge(alpha, least)
-        n, number = len(kept), {s: i for i, s in enumerate(kept)}
-        step = np.full((n + 1, SYMBOLS), n, np.int32)
-        count, ends = np.zeros((n + 1, SYMBOLS)), np.zeros(n + 1)
-        for i, s in enumerate(kept):
-            ends[i] = tree.ends[s]
-            for c, t in tree.next[s].items():
-                step[i, c], count[i, c] = number[t], tree.taken[s][c]
+        return Automaton.weighted(*table(Tree(sorted(words)), alpha, least))
+
+    @staticmethod
+    def weighted(step: np.ndarray, count: np.ndarray) -> Automaton:
+        """From next states (-1: none) and counts by state and symbol, ``END`` the last."""
+        n = len(step)
+        step, count = np.vstack([np.where(step < 0, n, step), np.full((1, SYMBOLS), n)]).astype(np.int32), np.vstack([count, np.zeros((1, SYMBOLS + 1))])
         share = 0.5 / (SYMBOLS + 1)  # half a visit for all that was not seen
-        total = count.sum(axis=1) + ends + 0.5
-        return Automaton(step, np.log2((count + share) / total[:, None]), np.log2((ends + share) / total))
+        weight = np.log2((count + share) / (count.sum(axis=1) + 0.5)[:, None])
+        return Automaton(step, weight[:, :END].copy(), weight[:, END].copy())
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log2 likelihood of each sequence of symbols, all sequences side by side."""
@@ -276,75 +344,184 @@ class Grammar:
             yield i, names[best[i]], float(lead[i, best[i]])
 
 
-def _hash(value: str) -> int:
-    return xxhash.xxh64_intdigest(value) >> 1
-
-
-def sample(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, ordinary: int = ORDINARY_ROWS) -> DataFrame:
-    """kind, value, spot: of each kind the ``rows`` different values with the smallest hashes, ``ordinary`` of the ordinary runs."""
+def values(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, value, held: all different values of base spans by kind, and the ordinary runs that are no such value; a quarter
+    of each kind, at least one, is held out."""
     own = docs.select(F.col(text).cast("string").alias("text"))
-    most = dict.fromkeys(KINDS, rows) | {ORDINARY: ordinary}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, str]] = defaultdict(dict)
-        bar = dict.fromkeys(most, 1 << 63)
-
-        def offer(kind, value):
-            if len(value) > SAMPLE_CHARS or (h := _hash(value)) >= bar[kind]:
-                return
-            held[kind][h] = value
-            if len(held[kind]) >= 2 * most[kind]:
-                keep = heapq.nsmallest(most[kind], held[kind])
-                held[kind] = {h: held[kind][h] for h in keep}
-                bar[kind] = keep[-1]
+        seen, chars = set(), 0
+
+        def out():
+            kinds, found = zip(*seen) if seen else ((), ())
+            return pa.record_batch([pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["kind", "value"])
 
         for b in batches:
             for part in slices(b, "text"):
                 for t in part.column(0).to_pylist():
-                    if t:
-                        base = base_spans(t)
-                        for _, k, _, value in base:
-                            offer(KINDS[k], value)
-                        for a, z in candidates(t, base):
-                            offer(ORDINARY, t[a:z])
-        out = [(kind, value, h) for kind, of in held.items() for h, value in sorted(of.items())[:most[kind]]]
-        yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "value", "spot"])
-
-    found = pin(own.mapInArrow(run, "kind string, value string, spot long").distinct())
-    parts = [found.filter(F.col("kind") == kind).orderBy("spot", "value").limit(n) for kind, n in most.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+                    base = base_spans(t or "")
+                    new = {(KINDS[k], value) for _, k, _, value in base} | {(ORDINARY, t[a:z]) for a, z in candidates(t or "", base)}
+                    new -= seen
+                    chars += sum(len(v) + 100 for _, v in new)
+                    seen |= new
+                    if chars > HELD_CHARS:
+                        yield out()
+                        seen, chars = set(), 0
+        yield out()
+
+    found = pin(own.mapInArrow(run, "kind string, value string").distinct())
+    labelled = found.filter(F.col("kind") != ORDINARY)
+    found = labelled.unionByName(found.filter(F.col("kind") == ORDINARY).join(labelled.select("value").distinct(), "value", "left_anti"))
+    spot = F.xxhash64("value")
+    first = found.groupBy("kind").agg(F.min(spot).alias("first"))
+    found = found.join(F.broadcast(first), "kind").select("kind", "value", ((F.pmod(spot, F.lit(4)) == 0) | (spot == F.col("first"))).alias("held"))
+    return pin(found.repartitionByRange("kind", "value").sortWithinPartitions("kind", "value"))
+
+
+def prefixes(words: DataFrame, least: dict[str, int]) -> DataFrame:
+    """kind, prefix (symbols), symbol that follows or ``END``, n: of the prefixes of ``least`` values or more.
+
+    ``words`` are dealt by range and sorted, so that the values of a prefix stand side by side; only the prefixes of a part's
+    first and last value go on in other parts, and their counts are added up.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path: list[tuple[dict[int, int], bool]] = []  # what follows each prefix of the value at hand, and whether the first value has it
+        kind, word, out, first = None, b"", [], True
+
+        def close(depth, last=False):
+            while len(path) > depth:
+                taken, border = path.pop()
+                if border or last or sum(taken.values()) >= least[kind]:
+                    out.extend((kind, word[:len(path)], c, n) for c, n in taken.items())
+
+        def batch():
+            rows = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int32(), pa.int64()))]
+            out.clear()
+            return pa.record_batch(rows, ["kind", "prefix", "symbol", "n"])
+
+        for b in batches:
+            for k, value in zip(b.column("kind").to_pylist(), b.column("value").to_pylist()):
+                new = symbols(value[:DEPTH]).tobytes()
+                close(len(os.path.commonprefix([word, new])) + 1 if k == kind else 0)
+                kind, word = k, new
+                for d in range(min(len(new) + (len(value) <= DEPTH), DEPTH)):
+                    if d == len(path):
+                        path.append(({}, first))
+                    c = new[d] if d < len(new) else END
+                    path[d][0][c] = path[d][0].get(c, 0) + 1
+                first = False
+            yield batch()
+        close(0, True)
+        yield batch()
+
+    found = words.mapInArrow(run, "kind string, prefix binary, symbol int, n long").groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"))
+    found = pin(found)
+    bar = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    enough = found.groupBy("kind", "prefix").agg(F.sum("n").alias("visits")).filter(F.col("visits") >= bar[F.col("kind")])
+    return found.join(enough.select("kind", "prefix"), ["kind", "prefix"])
+
+
+def _counts(words: DataFrame, steps: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, dict]]:
+    """By kind: counts by state and symbol, and (state, symbol that leads nowhere) -> counts of the symbol after it."""
+    sent = words.sparkSession.sparkContext.broadcast(steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            of = defaultdict(list)
+            for k, value in zip(b.column("kind").to_pylist(), b.column("value").to_pylist()):
+                of[k].append(symbols(value))
+            for k, sequences in of.items():
+                count, falls = walk(sent.value[k], sequences)
+                for s, c in np.argwhere(count).tolist():
+                    total[k, s, c, -1] += int(count[s, c])
+                for s, c, after, n in falls.tolist():
+                    total[k, s, c, after] += n
+        rows = [(*x, n) for x, n in total.items()]
+        yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), *[pa.int32()] * 3, pa.int64()))], ["kind", "state", "symbol", "after", "n"])
+
+    found = words.mapInArrow(run, "kind string, state int, symbol int, after int, n long").groupBy("kind", "state", "symbol", "after").agg(F.sum("n").alias("n"))
+    count = {k: np.zeros((len(step), SYMBOLS + 1), np.int64) for k, step in steps.items()}
+    falls: dict[str, dict] = {k: defaultdict(lambda: np.zeros(SYMBOLS + 1, np.int64)) for k in steps}
+    for kind, s, c, after, n in found.collect():  # at most one row a state, symbol and symbol after it
+        if after < 0:
+            count[kind][s, c] = n
+        else:
+            falls[kind][s, c][after] = n
+    return count, falls
+
+
+def infer(words: DataFrame, least: dict[str, int], parts: int, alpha: float = ALPHA) -> dict[str, Automaton]:
+    """The automaton of each kind from all its words; each task of a pass sends counts, so there are ``parts`` of them."""
+    of = defaultdict(list)
+    for kind, prefix, c, n in prefixes(words, least).collect():  # at most NODES prefixes of each length
+        of[kind].append((bytes(prefix), c, n))
+    steps, few = {k: table(Tree.counted(of[k]), alpha, n)[0] for k, n in least.items()}, words.coalesce(parts)
+    while True:
+        count, falls = _counts(few, steps)
+        if not any(falls.values()):
+            return {k: Automaton.weighted(steps[k], count[k]) for k in steps}
+        for k, own in falls.items():
+            log = np.log((count[k] + 0.5 / (SYMBOLS + 1)) / (count[k].sum(axis=1) + 0.5)[:, None])
+            for (s, c), after in sorted(own.items()):
+                steps[k][s, c] = np.argmax(log @ after)
+
+
+def _steps(words: DataFrame, grammar: Grammar, least: dict[str, float] | None = None) -> dict[tuple[str, str], list[tuple[int, int]]]:
+    """(kind, "own" or "lead") -> (step of the score, count), ascending, of each kind's own words; with ``least`` the leads of
+    all words that reach a kind's least likelihood."""
+    sent = words.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            kinds = np.array(b.column("kind").to_pylist())
+            names, own, lead = sent.value.scores(b.column("value").to_pylist())
+            for i, k in enumerate(names):
+                at = own[:, i] >= least[k] if least else kinds == k
+                for what, x in (("own", own), ("lead", lead)):
+                    total.update((k, what, v) for v in np.floor(x[at, i] * GRAIN).astype(int).tolist())
+        rows = [(*x, n) for x, n in total.items()]
+        yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "what", "step", "n"])
+
+    found = words.mapInArrow(run, "kind string, what string, step long, n long").groupBy("kind", "what", "step").agg(F.sum("n").alias("n"))
+    out = defaultdict(list)
+    for kind, what, step, n in found.orderBy("step").collect():  # GRAIN a bit at most
+        out[kind, what].append((step, n))
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, ordinary: int = ORDINARY_ROWS, alpha: float = ALPHA) -> Grammar:
-    """Automata from a part of a bounded sample, thresholds from the rest."""
-    values: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for r in sample(docs, text, rows, ordinary).collect():  # at most 3 x rows + ordinary short values
-        values[r["kind"]].append((r["spot"], r["value"]))
-    labelled = {v for k in KINDS for _, v in values[k]}
-    values[ORDINARY] = [x for x in values[ORDINARY] if x[1] not in labelled]
-    known = [k for k in KINDS if len(values[k]) >= LEAST_LABELS]
-    if not known or not values[ORDINARY]:
-        return Grammar({}, None, {})
+def _low(steps: list[tuple[int, int]]) -> float:
+    """The step that ``MISSED`` of the counted scores stay below."""
+    total = np.cumsum([n for _, n in steps])
+    return steps[int(np.searchsorted(total, int(MISSED * (total[-1] - 1)), "right"))][0] / GRAIN
 
-    def split(kind):  # a quarter held out; of the ordinary runs all beyond ``rows``, which a rate of one in a thousand needs
-        ordered = [v for _, v in sorted(values[kind])]
-        out = {i for i in range(len(ordered)) if i % 4 == 0 or i >= rows}
-        return [v for i, v in enumerate(ordered) if i not in out], [ordered[i] for i in sorted(out)]
 
-    parts = {k: split(k) for k in (*known, ORDINARY)}
-    machines = {k: Automaton.infer([symbols(v).tobytes() for v in parts[k][0]], alpha) for k in parts}
+def fit(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> Grammar:
+    """Automata from three quarters of all different values, thresholds from the rest."""
+    found = values(docs, text)
+    size = {(r["kind"], r["held"]): r["count"] for r in found.groupBy("kind", "held").count().collect()}
+    known = [k for k in KINDS if size.get((k, True), 0) + size.get((k, False), 0) >= LEAST_LABELS]
+    if not known or (ORDINARY, True) not in size:
+        return Grammar({}, None, {})
+    own = found.filter(F.col("kind").isin([*known, ORDINARY]))
+    least = {k: max(LEAST_VISITS, size.get((k, False), 0) // NODES) for k in (*known, ORDINARY)}
+    parts = math.ceil(sum(size.values()) / PART_VALUES)
+    machines = infer(own.filter(~F.col("held")), least, parts, alpha)
     grammar = Grammar({k: machines[k] for k in known}, machines[ORDINARY], {})
-    names, plain, plain_lead = grammar.scores(parts[ORDINARY][1])
-    for i, k in enumerate(names):
-        _, own, lead = grammar.scores(parts[k][1])
-        least = float(np.quantile(own[:, i], MISSED)) - SLACK
-        rivals = plain_lead[plain[:, i] >= least, i]  # ordinary runs of the format; FALSE counts all ordinary runs
-        allowed = int(FALSE * len(plain))
-        bar = np.sort(rivals)[-allowed - 1] + 1e-9 if len(rivals) > allowed else -np.inf
-        grammar.threshold[k] = least, float(max(np.quantile(lead[:, i], MISSED), bar, LEAST_LEAD))
+    rest = own.filter("held").coalesce(parts)
+    of = _steps(rest.filter(F.col("kind") != ORDINARY), grammar)
+    likely = {k: _low(of[k, "own"]) - SLACK for k in known}
+    rivals = _steps(rest.filter(F.col("kind") == ORDINARY), grammar, likely)  # ordinary runs of the format; FALSE counts all ordinary runs
+    allowed = int(FALSE * size[ORDINARY, True])
+    for k in known:
+        bar, passing = -np.inf, 0
+        for step, n in reversed(rivals[k, "lead"]):
+            passing += n
+            if passing > allowed:
+                bar = (step + 1) / GRAIN
+                break
+        grammar.threshold[k] = likely[k], float(max(_low(of[k, "lead"]), bar, LEAST_LEAD))
     return grammar
 
 
