@@ -43,3 +43,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     out = E.near_duplicates(df)
     assert out.count() == 0 and out.columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_vectors_are_dealt_once_a_block_and_paired_without_an_exchange(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rng.standard_normal((300, 64)))], "c long, embedding array<float>, weight long")
+    for block in range(4):
+        points = df.mapInArrow(E._points(0.9, block), E.POINT).sortWithinPartitions("dims", "cell_0", "cell_1", "c")
+        chunks = points.mapInArrow(E._chunks(0.9, block, "<f4", 40), E.CHUNK).checkpoint()
+        rows = chunks.collect()
+        assert sum(len(r["vectors"]) for r in rows) == 300 * 64 * 4 and max(len(r["c"]) for r in rows) == 40 * 8
+        plan = E._pairs(chunks)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        n = len(rows)
+        assert E._pairs(chunks).where("no = other").count() == n and n < E._pairs(chunks).count() <= n * (n + 1) // 2
